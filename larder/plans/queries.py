@@ -1 +1,3 @@
-QUERIES = {}
+from larder.plans.catalogue import QUERIES as CATALOGUE
+
+QUERIES = CATALOGUE
