@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import distinctive, near_duplicates, survivors
+from larder.llm import distinctive, near_duplicates, packing, survivors, tokenization
 from larder.session import Scratch
 from larder.sources.tables import table
 
@@ -83,4 +83,27 @@ def p6_terms(spark: SparkSession, root: str) -> DataFrame:
     return _terms(spark, root).select(F.col("record").alias("recipe_id"), "term", "rank", "tf", "df", "score")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms)}
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenization.encode(table(spark, root, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of every document (piece) for every capacity."""
+    capacities = table(spark, root, "pack_capacities").select("capacity_id", "tokenizer", "capacity_tokens").limit(1000).collect()
+    scratch = Scratch(spark)
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    sized = {t: scratch.save(tokenization.token_counts(documents, "text", t).select("doc_id", "n_tokens")) for t in sorted({c.tokenizer for c in capacities})}
+    parts = [
+        packing.pack(sized[c.tokenizer], "doc_id", "n_tokens", c.capacity_tokens).select(
+            F.lit(c.capacity_id).alias("capacity_id"), F.col("item").alias("doc_id"), "piece", F.col("start").alias("start_token"),
+            F.col("length").alias("n_tokens"), F.col("container").alias("container_id"))
+        for c in sorted(capacities, key=lambda c: c.capacity_id)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers)}
