@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import distinctive, near_duplicates, packing, survivors, tokenization
+from larder.llm import distinctive, near_duplicates, packing, personal, survivors, tokenization
 from larder.session import Scratch
 from larder.sources.tables import table
 
@@ -106,4 +106,17 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Places of personal information in every document."""
+    documents, names = table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "given_names")
+    return personal.found(documents, "doc_id", "text", names, "given_name").withColumnRenamed("doc", "doc_id")
+
+
+def p9_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with personal information replaced by placeholders."""
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    entities = personal.found(documents, "doc_id", "text", table(spark, root, "given_names"), "given_name")
+    return personal.redact(documents, "doc_id", "text", entities).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
