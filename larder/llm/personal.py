@@ -249,7 +249,8 @@ def name_patterns(names: DataFrame, seeds: DataFrame, rounds: int = 3, varied: i
     # A comma after the first word: the given name may stand second.
     turned = F.when(F.col("sep") == ",", F.col("second")).otherwise(F.col("first"))
     other = F.when(F.col("sep") == ",", F.col("first")).otherwise(F.col("second"))
-    seen = scratch.save(pairs.select("copy", "pattern", turned.alias("first"), other.alias("second")))
+    # One short word or sign alone ("a", ":") says too little to stand for a context.
+    seen = scratch.save(pairs.where(F.length("pattern") >= 3).select("copy", "pattern", turned.alias("first"), other.alias("second")))
     edges = scratch.save(seen.select("pattern", "first", "second").distinct())
     wide = edges.groupBy("pattern").agg(F.approx_count_distinct("first", 0.02).alias("a"), F.approx_count_distinct("second", 0.02).alias("b"))
     wide = scratch.save(wide.withColumn("varied", (F.col("a") >= varied) & (F.col("b") >= varied)))

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import distinctive, near_duplicates, packing, personal, survivors, tokenization
+from larder.llm import distinctive, near_duplicates, neighbours, packing, personal, survivors, tokenization
 from larder.session import Scratch
 from larder.sources.tables import table
 
@@ -119,4 +119,27 @@ def p9_redacted(spark: SparkSession, root: str) -> DataFrame:
     return personal.redact(documents, "doc_id", "text", entities).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
+SPACES = {"embedding": 0.85, "tfidf": 0.60}
+
+
+def current_vectors(spark: SparkSession, root: str, space: str) -> DataFrame:
+    """The usable vectors of the current run of a space."""
+    if space == "embedding":
+        return neighbours.usable(table(spark, root, "document_embeddings").select("run_id", "recipe_id", "vec"), "run_id", "recipe_id", "vec")
+    rows = table(spark, root, "document_vectors").select("run_id", "recipe_id", F.col("term_ids").alias("terms"), "weights")
+    return neighbours.usable(rows, "run_id", "recipe_id", "terms", "weights")
+
+
+def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The five most similar recipes of every recipe in both spaces, at or above the space's limit."""
+    parts = [neighbours.neighbours(current_vectors(spark, root, s), 5, limit).select(F.lit(s).alias("space"), F.col("id").alias("recipe_id"), F.col("neighbour").alias("neighbour_id"), "similarity") for s, limit in SPACES.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of recipes one of which is among the five most similar of the other."""
+    a, b = F.col("recipe_id"), F.col("neighbour_id")
+    return p1_neighbours(spark, root).select("space", F.least(a, b).alias("recipe_id_a"), F.greatest(a, b).alias("recipe_id_b")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
