@@ -31,7 +31,10 @@ SAMPLE = 16_000
 MANY_COPIES = 64
 #: Largest number of such classes that is broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
-BLOCK = 1024
+BLOCK = 512
+#: Bounds of a window where none is given: a twentieth of the collection, as neighbourhoods grow with it,
+#: but never more vectors than one task compares in seconds.
+MIN_WINDOW, MAX_WINDOW = 1024, 16_384
 #: Bits of a curve's cell coordinate.
 BITS = 6
 
@@ -92,16 +95,19 @@ class Sparse:
     def project(self, width: int) -> np.ndarray:
         """Unit-length sign projections, float32."""
         distinct, at = np.unique(self.terms, return_inverse=True)
-        out = np.zeros((len(self.starts) - 1, width), dtype=np.float32)
         table = signs(distinct, width)
         lengths = np.diff(self.starts)
-        for lo in range(0, len(out), 2048):
-            hi = min(len(out), lo + 2048)
-            a, b = self.starts[lo], self.starts[hi]
-            part = table[at[a:b]] * self.weights[a:b, None].astype(np.float32)
-            some = lengths[lo:hi] > 0
-            if some.any():
-                out[lo:hi][some] = np.add.reduceat(part, (self.starts[lo:hi] - a)[some], axis=0)
+        # Rows by falling length: the rows that have a j-th entry are then the first ones.
+        order = np.argsort(-lengths, kind="stable")
+        starts, falling = self.starts[:-1][order], lengths[order]
+        weights = self.weights.astype(np.float32)
+        out = np.zeros((len(lengths), width), dtype=np.float32)
+        for lo in range(0, len(out), 1024):
+            part, first = out[lo : lo + 1024], starts[lo : lo + 1024]
+            for j in range(falling[lo]):
+                n = int(np.searchsorted(-falling[lo : lo + 1024], -j, side="left"))
+                part[:n] += table[at[first[:n] + j]] * weights[first[:n] + j, None]
+        out[order] = out.copy()
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(norm > 0, norm, 1)
 
@@ -240,7 +246,8 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
         s[np.arange(m), np.arange(lo, lo + m)] = -2
         if pad:
             s[:, n:] = -2
-        peaks = s.reshape(m, -1, chunk).max(2)
+        # A chunk is every (n / chunk)-th column, so that the maximum runs over whole rows of numbers.
+        peaks = s.reshape(m, chunk, -1).max(1)
         if peaks.shape[1] > wide:
             floor = np.partition(peaks, peaks.shape[1] - wide, axis=1)[:, peaks.shape[1] - wide] - 2e-6
         else:
@@ -248,10 +255,10 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
         floor = np.maximum(floor, limit - slack).astype(np.float32)
         # Only chunks whose peak passes are looked into.
         r, c = np.nonzero(peaks >= floor[:, None])
-        inner = s.reshape(m, -1, chunk)[r, c] >= floor[r, None]
+        inner = s.reshape(m, chunk, -1)[r, :, c] >= floor[r, None]
         i, j = np.nonzero(inner)
         rows.append(r[i] + lo)
-        cols.append(c[i] * chunk + j)
+        cols.append(j * peaks.shape[1] + c[i])
     a, b = np.concatenate(rows), np.concatenate(cols)
     sim = np.round(v.dots(a, b), 9)
     keep = sim >= limit
@@ -284,14 +291,15 @@ def _id_type(df: DataFrame) -> str:
     return dict(df.dtypes)["id"]
 
 
-def placed(vectors: DataFrame, window: int, curves: int, seed: int = 7) -> DataFrame:
+def placed(vectors: DataFrame, window: int | None, curves: int, seed: int = 7) -> DataFrame:
     """``vectors`` (id and vec, or id, terms and weights) once per curve, with the number of its window as ``slot``."""
     spark = vectors.sparkSession
     total = vectors.count()
+    window = window or min(MAX_WINDOW, max(MIN_WINDOW, total // 20))
     rate = min(1.0, SAMPLE / max(1, total))
     sampled = vectors if rate >= 1 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
     sample = unpack(sampled.toArrow())
-    cast = spark.sparkContext.broadcast(fit(sample.project(64), total, window, curves, seed=seed)) if len(sample.ids) else None
+    cast = spark.sparkContext.broadcast(fit(sample.project(SCREEN), total, window, curves, seed=seed)) if len(sample.ids) else None
     count = max(1, round(total / window))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +307,7 @@ def placed(vectors: DataFrame, window: int, curves: int, seed: int = 7) -> DataF
             table = pa.Table.from_batches([batch])
             if not len(table):
                 continue
-            x = unpack(table).project(64)
+            x = unpack(table).project(SCREEN)
             for c in range(curves):
                 slot = cast.value.windows(x, c) + c * count
                 yield from table.append_column("slot", pa.array(slot.astype(np.int32))).to_batches()
@@ -326,7 +334,7 @@ def _without_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return kept.select(*vectors.columns), many
 
 
-def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int = 4096, curves: int = 4, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int | None = None, curves: int = 4, seed: int = 7) -> DataFrame:
     """``(id, neighbour, similarity)``: up to ``k`` most similar other vectors of each, at or above ``limit``.
 
     ``vectors`` has a non-null ``id`` and ``vec`` (array of numbers) or ``terms`` and ``weights``
