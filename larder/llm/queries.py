@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import distinctive, near_duplicates, neighbours, packing, personal, survivors, tokenization
+from larder.llm import clusters, distinctive, near_duplicates, neighbours, packing, personal, survivors, tokenization
 from larder.session import Scratch
 from larder.sources.tables import table
 
@@ -142,4 +142,16 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_neighbours(spark, root).select("space", F.least(a, b).alias("recipe_id_a"), F.greatest(a, b).alias("recipe_id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Members of the clusters of recipes linked at or above the space's limit."""
+    parts = [clusters.flat(current_vectors(spark, root, s), limit).select(F.lit(s).alias("space"), F.col("cluster").alias("cluster_recipe_id"), F.col("id").alias("recipe_id")) for s, limit in SPACES.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """The most stable clusters of similar recipes: size and most typical members."""
+    parts = [clusters.stable(current_vectors(spark, root, s), limit).select(F.lit(s).alias("space"), F.col("cluster").alias("cluster_recipe_id"), "size", F.array_join("exemplars", " ").alias("typical_recipe_ids")) for s, limit in SPACES.items()]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clusters, p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
