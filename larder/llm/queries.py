@@ -68,7 +68,8 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, root: str, **how) -> DataFrame:
-    counts = distinctive.term_counts(recipe_texts(spark, root, "search_text"), "recipe_id", "text")
+    # Read by the document frequencies and by the scores: written once, so the texts are split once.
+    counts = Scratch(spark).save(distinctive.term_counts(recipe_texts(spark, root, "search_text"), "recipe_id", "text"))
     recipes = table(spark, root, "recipes").select("site_recipe_id")
     return distinctive.leading_terms(distinctive.relevance(counts, recipes, "site_recipe_id", min_df=2, **how), 3)
 
