@@ -84,6 +84,7 @@ def similar_pairs(reps: DataFrame, threshold: Fraction = Fraction(4, 5), tile_ro
     rows = rows.select("class", "n", "pos", *[f"s{i}" for i in range(BITS)], F.col("x")["w"].alias("w"), F.explode(F.array(
         F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("own")))).alias("t"))
     rows = rows.select("class", "n", "pos", "w", *[f"s{i}" for i in range(BITS)], "t.tile", "t.own")
+    rows = scratch.save(rows)
     counts = rows.groupBy("w", "tile").agg(F.count("*").alias("rows"), F.sum(F.col("own").cast("int")).alias("owners"))
     # A tile without two rows, or none of its own band, has no pair.
     counts = counts.where((F.col("rows") > 1) & (F.col("owners") > 0)).select("w", "tile", F.ceil(F.col("rows") / tile_rows).cast("int").alias("grid"))
