@@ -32,7 +32,7 @@ MANY_COPIES = 64
 #: Largest number of such classes that is broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
 BLOCK = 512
-#: Bounds of a window where none is given: a tenth of the collection, as neighbourhoods grow with it,
+#: Bounds of a window where none is given: a share of the collection, as neighbourhoods grow with it,
 #: but never more vectors than one task compares in seconds.
 MIN_WINDOW, MAX_WINDOW = 1024, 24_576
 #: Bits of a curve's cell coordinate.
@@ -291,11 +291,11 @@ def _id_type(df: DataFrame) -> str:
     return dict(df.dtypes)["id"]
 
 
-def placed(vectors: DataFrame, window: int | None, curves: int, seed: int = 7) -> DataFrame:
+def placed(vectors: DataFrame, window: int | None, curves: int, seed: int = 7, share: int = 10) -> DataFrame:
     """``vectors`` (id and vec, or id, terms and weights) once per curve, with the number of its window as ``slot``."""
     spark = vectors.sparkSession
     total = vectors.count()
-    window = window or min(MAX_WINDOW, max(MIN_WINDOW, total // 10))
+    window = window or min(MAX_WINDOW, max(MIN_WINDOW, total // share))
     rate = min(1.0, SAMPLE / max(1, total))
     sampled = vectors if rate >= 1 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
     sample = unpack(sampled.toArrow())

@@ -143,16 +143,24 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_neighbours(spark, root).select("space", F.least(a, b).alias("recipe_id_a"), F.greatest(a, b).alias("recipe_id_b")).distinct()
 
 
+def _graph(spark: SparkSession, root: str, forest: bool) -> DataFrame:
+    """The neighbour graphs of both spaces in one table, so that one set of rounds clusters both."""
+    parts = [clusters.distances(clusters.neighbour_graph(current_vectors(spark, root, s), limit, forest=forest), limit, s) for s, limit in SPACES.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Members of the clusters of recipes linked at or above the space's limit."""
-    parts = [clusters.flat(current_vectors(spark, root, s), limit).select(F.lit(s).alias("space"), F.col("cluster").alias("cluster_recipe_id"), F.col("id").alias("recipe_id")) for s, limit in SPACES.items()]
-    return parts[0].unionByName(parts[1])
+    found = clusters.flat(_graph(spark, root, forest=True))
+    space, cluster = clusters.original("cluster")
+    return found.select(space.alias("space"), cluster.alias("cluster_recipe_id"), clusters.original("id")[1].alias("recipe_id"))
 
 
 def p2_clusters(spark: SparkSession, root: str) -> DataFrame:
     """The most stable clusters of similar recipes: size and most typical members."""
-    parts = [clusters.stable(current_vectors(spark, root, s), limit).select(F.lit(s).alias("space"), F.col("cluster").alias("cluster_recipe_id"), "size", F.array_join("exemplars", " ").alias("typical_recipe_ids")) for s, limit in SPACES.items()]
-    return parts[0].unionByName(parts[1])
+    found = clusters.stable(_graph(spark, root, forest=False))
+    space, cluster = clusters.original("cluster")
+    return found.select(space.alias("space"), cluster.alias("cluster_recipe_id"), "size", F.array_join(F.transform("exemplars", lambda x: F.substring_index(x, "/", -1)), " ").alias("typical_recipe_ids"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clusters, p3_found, p3_records, p5_found, p5_groups, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
