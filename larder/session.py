@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once per application.
+
+    Nothing is done where the workers find it anyway: on the driver's own machine, by PYTHONPATH or as
+    the working directory. Elsewhere the package goes along as an archive of the application.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    root, master = package.parent, context.master
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if master.startswith("local") and (root in known or (not master.startswith("local-cluster") and Path.cwd() == root)):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="larder-")) / "larder.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage between the rounds of an iteration.
 
