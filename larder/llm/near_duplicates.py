@@ -8,7 +8,9 @@ the exact intersection of the sorted arrays.
   no pair is lost, and frequent words key nothing but tiny sets.
 * Bands of sizes grow by 1/t, so a partner lies in the same band or the next one. The tile of a word
   and a band holds the records of this band and of the next.
-* A tile with more rows than ``tile_rows`` is a grid of blocks: its rows go to one row or column of
+* A tile with more rows than ``split_rows`` is split by a second word: two sets that similar share two
+  words of their ``n - ceil(t n) + 2`` rarest, so the first and the second shared one make the key.
+* A tile with more rows than ``tile_rows`` even then is a grid of blocks: its rows go to one row or column of
   blocks each, so a word with a third of all rows is many tasks of bounded size, never one group.
 * In a tile everything stays in generated JVM code: sizes, positions and bit counts of 256-bit
   signatures give upper bounds of the overlap; what survives is compared exactly.
@@ -28,6 +30,8 @@ from larder.operators.components import components
 from larder.session import Scratch
 
 BITS = 4  # longs of 64 bits in a signature
+#: Largest number of tiles that is broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 
 
 def word_sets(texts: DataFrame, record: str, text: str, min_words: int) -> DataFrame:
@@ -68,7 +72,7 @@ def _signature(ranked: Column) -> list[Column]:
     return [one(i).alias(f"s{i}") for i in range(BITS)]
 
 
-def similar_pairs(reps: DataFrame, threshold: Fraction = Fraction(4, 5), tile_rows: int = 2000) -> DataFrame:
+def similar_pairs(reps: DataFrame, threshold: Fraction = Fraction(4, 5), tile_rows: int = 2000, split_rows: int = 256) -> DataFrame:
     """``(a, b, shared, n_a, n_b)``, a < b: every pair of classes with Jaccard similarity >= ``threshold``.
 
     Exact: the tiles lose no pair, the bounds only rule out pairs that can't reach the threshold.
@@ -76,15 +80,28 @@ def similar_pairs(reps: DataFrame, threshold: Fraction = Fraction(4, 5), tile_ro
     p, q = threshold.numerator, threshold.denominator
     scratch = Scratch(reps.sparkSession)
     reps = scratch.save(reps)
-    growth = math.log(q / p)
     # A hair is added so that sizes on a band's edge fall the same way in every engine.
-    band = F.floor(F.log(F.col("n").cast("double")) / growth + 1e-9).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("int")
     prefix = (F.col("n") - F.ceil(F.col("n") * p / F.lit(float(q)) - 1e-9) + 1).cast("int")
-    rows = reps.select("class", "n", band.alias("band"), *_signature(F.col("ranked")), F.posexplode(F.slice("ranked", 1, prefix)).alias("pos", "x"))
-    rows = rows.select("class", "n", "pos", *[f"s{i}" for i in range(BITS)], F.col("x")["w"].alias("w"), F.explode(F.array(
-        F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("own")))).alias("t"))
-    rows = rows.select("class", "n", "pos", "w", *[f"s{i}" for i in range(BITS)], "t.tile", "t.own")
-    rows = scratch.save(rows)
+    signs = [f"s{i}" for i in range(BITS)]
+    words_of = F.transform(F.slice("ranked", 1, prefix + 1), lambda x: x["w"])
+    signed = scratch.save(reps.select("class", "n", band.alias("band"), prefix.alias("prefix"), *_signature(F.col("ranked")), words_of.alias("first")))
+    both = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("own")))).alias("t")
+
+    def keyed(*kept: str) -> DataFrame:
+        """A row per class, word of its prefix and tile."""
+        flat = signed.select("class", "n", "band", *signs, "first", F.posexplode(F.slice("first", F.lit(1), F.col("prefix"))).alias("pos", "w"))
+        return flat.select(*kept, "w", both).select(*kept, "w", "t.tile", "t.own")
+
+    tiles = keyed().groupBy("w", "tile").agg(F.count("*").alias("rows"))
+    # Of at most rows / split_rows tiles; broadcast while that is few.
+    large = scratch.save(tiles.where(F.col("rows") > split_rows).select("w", "tile"))
+    hot = F.broadcast(large) if large.count() <= MAX_BROADCAST else large
+    full = keyed("class", "n", "pos", *signs, "first")
+    small = full.join(hot, ["w", "tile"], "left_anti").drop("first")
+    split = full.join(hot, ["w", "tile"]).select("class", "n", "pos", *signs, "w", "tile", "own", F.explode(F.slice("first", F.col("pos") + 2, F.size("first"))).alias("w2"))
+    split = split.withColumn("w", F.xxhash64("w", "w2")).drop("w2")
+    rows = small.unionByName(split)
     counts = rows.groupBy("w", "tile").agg(F.count("*").alias("rows"), F.sum(F.col("own").cast("int")).alias("owners"))
     # A tile without two rows, or none of its own band, has no pair.
     counts = counts.where((F.col("rows") > 1) & (F.col("owners") > 0)).select("w", "tile", F.ceil(F.col("rows") / tile_rows).cast("int").alias("grid"))
@@ -103,8 +120,8 @@ def similar_pairs(reps: DataFrame, threshold: Fraction = Fraction(4, 5), tile_ro
         & (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
         & ((F.least("pa", "pb") + rest) * (p + q) >= need) & (upper * (p + q) >= need))
     candidates = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    words_of = lambda end: reps.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.transform("ranked", lambda x: x["w"]).alias(f"w_{end}"))
-    exact = candidates.join(words_of("a"), "a").join(words_of("b"), "b").withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
+    sets_of = lambda end: reps.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.transform("ranked", lambda x: x["w"]).alias(f"w_{end}"))
+    exact = candidates.join(sets_of("a"), "a").join(sets_of("b"), "b").withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
     return exact.where(F.col("shared") * (p + q) >= (F.col("n_a") + F.col("n_b")) * p).select("a", "b", "shared", "n_a", "n_b")
 
 

@@ -37,8 +37,8 @@ def test_long_chain_and_hub(spark):
     assert sizes == [71, 90]
 
 
-@pytest.mark.parametrize("tile_rows", [3, 2000])
-def test_near_duplicates_equal_brute_force(spark, tile_rows):
+@pytest.mark.parametrize("tile_rows,split_rows", [(3, 4), (2000, 5), (2000, 256)])
+def test_near_duplicates_equal_brute_force(spark, tile_rows, split_rows):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(150)] + ["comum"]
     sets = []
@@ -56,12 +56,12 @@ def test_near_duplicates_equal_brute_force(spark, tile_rows):
     df = spark.createDataFrame(rows, "record string, text string, w string")
     got_sets = nd.word_sets(df, "record", "text", 10)
     reps, members = nd.classes(got_sets)
-    pairs = nd.similar_pairs(reps, Fraction(4, 5), tile_rows)
+    pairs = nd.similar_pairs(reps, Fraction(4, 5), tile_rows, split_rows)
     got = {(r.a, r.b) for r in nd.expand_pairs(pairs, members).collect()}
     ok = [(f"{i:04d}", s) for i, s in enumerate(sets) if len(s) >= 10]
     want = {(a, b) for i, (a, s) in enumerate(ok) for b, t in ok[i + 1 :] if 5 * len(s & t) >= 4 * len(s | t)}
     assert got == want and len(want) > 20
-    if tile_rows == 2000:
+    if split_rows == 256:
         out = {r.record: r for r in nd.near_duplicate_groups(got_sets).collect()}
         assert sum(r.links for r in out.values()) == 2 * len(want) and all(out[a].group == out[b].group for a, b in want)
 
