@@ -57,8 +57,11 @@ def _flatten(edges: DataFrame, scratch: Scratch) -> DataFrame:
         edges.select(F.col("u").alias("node"), F.col("u").alias("to")))
     parent = scratch.save(ends.groupBy("node").agg(F.min("to").alias("root")))
     while True:
-        up = parent.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        jumped = scratch.save(parent.join(up, "root").select("node", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")))
+        # Two doublings in one written step.
+        first = parent.select(F.col("node").alias("root"), F.col("root").alias("h1"))
+        once = parent.join(first, "root").select("node", F.col("root").alias("r0"), F.col("h1").alias("root"))
+        second = parent.select(F.col("node").alias("root"), F.col("root").alias("h2"))
+        jumped = scratch.save(once.join(second, "root").select("node", F.col("h2").alias("root"), (F.col("h2") != F.col("r0")).alias("moved")))
         scratch.drop(parent)
         parent = jumped
         if jumped.where("moved").isEmpty():
