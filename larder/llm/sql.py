@@ -35,8 +35,12 @@ _GROUPS = r"""link AS (SELECT site_recipe_id AS a, trim(duplicate_of_recipe_id,
   ok AS (SELECT a, b FROM link WHERE a <> b AND b IN (SELECT site_recipe_id FROM recipes)), both_ways AS (SELECT a, b FROM ok UNION SELECT b, a FROM ok),
   reach(x, y) AS (SELECT a, b FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON e.a = r.y), grp AS (SELECT x AS r, least(x, min(y)) AS g FROM reach GROUP BY x)"""
 
-_INSTANT = r"""CASE WHEN trim(retrieved_at) SIMILAR TO '\d{1,11}' THEN trim(retrieved_at)::BIGINT * 1000000 WHEN trim(retrieved_at) SIMILAR TO '\d{12,13}' THEN trim(retrieved_at)::BIGINT * 1000
-  ELSE epoch_us(coalesce(try_strptime(trim(retrieved_at), ['%Y-%m-%dT%H:%M:%S%z', '%Y-%m-%dT%H:%M:%S.%f%z', '%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M:%S', '%Y-%m-%dT%H:%M:%SZ', '%Y%m%dT%H%M%SZ']))) END"""
+_AT = "trim(retrieved_at)"
+_ZONE = rf"replace(regexp_extract({_AT}, '([+-]\d{{2}}:?\d{{2}})$', 1), ':', '')"
+_INSTANT = rf"""CASE WHEN regexp_full_match({_AT}, '\d{{1,11}}') THEN try_cast({_AT} AS BIGINT) * 1000000 WHEN regexp_full_match({_AT}, '\d{{12,13}}') THEN try_cast({_AT} AS BIGINT) * 1000
+  WHEN regexp_full_match({_AT}, '\d{{8}}T\d{{6}}Z') THEN epoch_us(try_strptime({_AT}, '%Y%m%dT%H%M%SZ')) WHEN regexp_matches({_AT}, '^\d{{2}}/\d{{2}}/\d{{4}} ') THEN epoch_us(try_strptime({_AT}, '%d/%m/%Y %H:%M:%S'))
+  ELSE epoch_us(try_strptime(replace({_AT}[:19], 'T', ' '), '%Y-%m-%d %H:%M:%S')) + coalesce(try_cast('0' || regexp_extract({_AT}, ':\d{{2}}(\.\d+)', 1) AS DOUBLE) * 1000000, 0)::BIGINT
+    - CASE WHEN {_ZONE} = '' THEN 0 ELSE (CASE WHEN {_ZONE}[1] = '-' THEN -1 ELSE 1 END) * (try_cast({_ZONE}[2:3] AS BIGINT) * 3600 + try_cast({_ZONE}[4:5] AS BIGINT) * 60) * 1000000 END END"""
 
 _PICKS = " UNION ALL ".join(
     [f"SELECT g, 'rating_value' AS f, arg_min(site_recipe_id, (-coalesce(ratings_count, -1), site_recipe_id)) AS s FROM m WHERE rating_value IS NOT NULL GROUP BY g",
