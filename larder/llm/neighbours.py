@@ -291,10 +291,9 @@ def _id_type(df: DataFrame) -> str:
     return dict(df.dtypes)["id"]
 
 
-def placed(vectors: DataFrame, window: int | None, curves: int, seed: int = 7, share: int = 10) -> DataFrame:
-    """``vectors`` (id and vec, or id, terms and weights) once per curve, with the number of its window as ``slot``."""
+def placed(vectors: DataFrame, total: int, window: int | None, curves: int, seed: int = 7, share: int = 10) -> DataFrame:
+    """``vectors`` (id and vec, or id, terms and weights) once per curve, with the number of its window as ``slot``; ``total`` is how many there are."""
     spark = vectors.sparkSession
-    total = vectors.count()
     window = window or min(MAX_WINDOW, max(MIN_WINDOW, total // share))
     rate = min(1.0, SAMPLE / max(1, total))
     sampled = vectors if rate >= 1 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
@@ -316,22 +315,26 @@ def placed(vectors: DataFrame, window: int | None, curves: int, seed: int = 7, s
     return vectors.mapInArrow(place, f"{schema}, slot int")
 
 
-def _without_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``vectors`` with one member of each class of more than ``MANY_COPIES`` equal ones, and those classes.
+def _without_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """``vectors`` with one member of each class of more than ``MANY_COPIES`` equal ones, those classes, and the number of vectors.
 
     The classes are ``(rep, h)``, ``h`` the 64-bit hash of the vector (and of the number of its entries).
+    One pass counts vectors and classes by hash; names are looked up only where such a class exists.
     """
     content = [c for c in vectors.columns if c != "id"]
     h = F.xxhash64(*content)
-    many = vectors.select(h.alias("h"), "id").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(F.col("n") > MANY_COPIES).select("h", "rep")
-    scratch = Scratch(vectors.sparkSession)
-    many = scratch.save(many)
-    size = many.count()
+    per = vectors.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    large = F.col("n") > MANY_COPIES
+    total, size = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(large.cast("int")), F.lit(0))).first()
     if not size:
-        return vectors, None
+        return vectors, None, total
+    scratch = Scratch(vectors.sparkSession)
+    classes = per.where(large).select("h")
+    classes = F.broadcast(classes) if size <= MAX_BROADCAST else classes
+    many = scratch.save(vectors.select(h.alias("h"), "id").join(classes, "h").groupBy("h").agg(F.min("id").alias("rep")))
     known = F.broadcast(many) if size <= MAX_BROADCAST else many
     kept = vectors.withColumn("h", h).join(known, "h", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id")))
-    return kept.select(*vectors.columns), many
+    return kept.select(*vectors.columns), many, total
 
 
 def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int | None = None, curves: int = 4, seed: int = 7) -> DataFrame:
@@ -343,7 +346,7 @@ def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int
     to the smaller id. Approximate: a neighbour is missed if no curve brings the two together.
     """
     scratch = Scratch(vectors.sparkSession)
-    own, many = _without_copies(vectors)
+    own, many, total = _without_copies(vectors)
     sparse = "terms" in vectors.columns
     wide, slack = (32, 0.15) if sparse else (k, 1e-5)
     kind = _id_type(vectors)
@@ -358,19 +361,19 @@ def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int
         near = pa.StructArray.from_arrays([pa.array(-sim), ids.take(pa.array(b))], names=["s", "n"])
         return pa.table({"id": ids.take(pa.array(a[bounds])), "near": pa.ListArray.from_arrays(offsets, near)})
 
-    lists = placed(own, window, curves, seed).groupBy("slot").applyInArrow(window_lists, f"id {kind}, near array<struct<s: double, n: {kind}>>")
+    lists = placed(own, total, window, curves, seed).groupBy("slot").applyInArrow(window_lists, f"id {kind}, near array<struct<s: double, n: {kind}>>")
     if many is not None:
-        lists = _with_copies(scratch.save(lists), vectors, many, k, limit)
+        lists = _with_copies(scratch.save(lists), vectors, many, k)
     # At most `curves` lists of k a vector (and the copies' one).
     merged = lists.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     return merged.select("id", F.explode("near").alias("x")).select("id", F.col("x.n").alias("neighbour"), (-F.col("x.s")).alias("similarity"))
 
 
-def _with_copies(lists: DataFrame, vectors: DataFrame, many: DataFrame, k: int, limit: float) -> DataFrame:
+def _with_copies(lists: DataFrame, vectors: DataFrame, many: DataFrame, k: int) -> DataFrame:
     """``lists`` completed by the members of large classes of copies.
 
-    A member's nearest are the smallest other members, at similarity 1; whoever has the class's
-    representative as a neighbour has its k smallest members. The smallest k + 1 members of a class are
+    A member's nearest are the smallest other members, at similarity 1, and what the representative has;
+    whoever has the representative as a neighbour has the class's k smallest members. The smallest k + 1 members of a class are
     found by a rank that Spark limits in each task before the shuffle.
     """
     from pyspark.sql import Window
@@ -381,17 +384,20 @@ def _with_copies(lists: DataFrame, vectors: DataFrame, many: DataFrame, k: int,
     first = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).groupBy("h", "rep").agg(F.array_sort(F.collect_list("id")).alias("first"))
     first = Scratch(vectors.sparkSession).save(first)
     alike = members.join(first.select("h", "first"), "h").select("id", F.transform(F.slice(F.filter("first", lambda x: x != F.col("id")), 1, k), lambda x: F.struct(F.lit(-1.0).alias("s"), x.alias("n"))).alias("near"))
+    # Members share what their representative found outside the class: vectors of the same direction tie with copies.
+    of_reps = lists.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "near")
+    of_reps = F.broadcast(of_reps) if first.count() <= MAX_BROADCAST else of_reps
+    shared = members.where("id <> rep").join(of_reps, "rep").select("id", F.filter("near", lambda x: x["n"] != F.col("id")).alias("near"))
     flat = lists.select("id", F.explode("near").alias("x")).select("id", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
     more = flat.join(first.select(F.col("rep").alias("n"), "first"), "n").select("id", F.transform(F.filter("first", lambda x: x != F.col("id")), lambda x: F.struct(F.col("s").alias("s"), x.alias("n"))).alias("near"))
-    more = more.select("id", F.slice("near", 1, k).alias("near"))
-    # Members other than the representative share its neighbours outside the class only where it has fewer than k copies: never.
-    return lists.unionByName(alike).unionByName(more) if limit <= 1 else lists
+    return lists.unionByName(alike).unionByName(shared).unionByName(more.select("id", F.slice("near", 1, k).alias("near")))
 
 
 def usable(rows: DataFrame, run: str, record: str, *content: str) -> DataFrame:
     """The rows of the highest ``run`` whose id and arrays are not null, not empty and not all zero."""
-    current = rows.agg(F.max(run).alias("current"))
-    kept = rows.join(F.broadcast(current), rows[run] == F.col("current"), "left_semi")  # one row
+    # One number: as a literal it reaches the scan and prunes row groups.
+    current = rows.agg(F.max(run)).first()[0]
+    kept = rows.where(F.col(run) == F.lit(current))
     some = F.col(record).isNotNull()
     for c in content:
         some &= F.col(c).isNotNull() & (F.size(c) > 0)
