@@ -49,6 +49,26 @@ def documents(units: DataFrame, recipes: DataFrame) -> DataFrame:
     return own.join(joined, "recipe_id", "left").select("recipe_id", "title", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
+def search_texts(units: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``(recipe_id, words)``: the distinct search words of all texts of a recipe, its origin label included.
+
+    Per text the words, content words, stems and lemmas; a recipe's sets are united by a partially
+    combined aggregation, so its texts are never gathered as such.
+    """
+    label = recipes.where("trim(origin_category) <> ''").select(F.col("site_recipe_id").alias("recipe_id"), F.lit("origin_category").alias("field_name"), F.lit(0).alias("position"), F.col("origin_category").alias("raw_text"))
+    ready = prepare(units.unionByName(label), "raw_text")
+    flat = ready.select("recipe_id", F.explode(F.split(T.search_index_text(F.col("prepared")), " ")).alias("word")).where("word <> ''").distinct()
+    got = flat.groupBy("recipe_id").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    return recipes.select(F.col("site_recipe_id").alias("recipe_id")).join(got, "recipe_id", "left").select("recipe_id", F.array_join(F.coalesce("words", F.array().cast("array<string>")), " ").alias("words"))
+
+
+def finished(runs: DataFrame, updates: DataFrame, key: str = "run_id") -> DataFrame:
+    """Runs with the cells of later updates, null cells of an update changing nothing."""
+    r, u = runs.alias("r"), updates.alias("u")
+    cells = [F.coalesce(F.col(f"u.{c}"), F.col(f"r.{c}")).alias(c) if c in updates.columns else F.col(f"r.{c}") for c in runs.columns]
+    return r.join(u, F.col(f"r.{key}") == F.col(f"u.{key}"), "full").select(*cells)
+
+
 def fingerprints(units: DataFrame, recipes: DataFrame) -> DataFrame:
     """``(recipe_id, fingerprint)``: key of title, ingredients and steps; of title and description if it has neither; empty with only a title."""
     normal = units.select("recipe_id", "field_name", "position", T.normalize_lexical(F.col("raw_text")).alias("n"))

@@ -70,6 +70,11 @@ def search_index(spark, root):
     return ready.select(F.col("site_recipe_id").alias("recipe_id"), F.array_join(F.array_sort(F.split(T.search_index_text(F.col("prepared")), " ")), " ").alias("words"))
 
 
+def search_texts(spark, root):
+    """The search words of every recipe over all its texts, sorted."""
+    return corpus.search_texts(_units(spark, root), table(spark, root, "recipes"))
+
+
 def near_dup_groups(spark, root):
     """Groups of documents with the same set of content words."""
     docs = corpus.tokenized(table(spark, root, "documents"), "doc_id", "text").where(F.size("tokens") > 0)
@@ -348,7 +353,7 @@ def vector_means(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_clean, text_words, stopword_filter, stem_lemma, prepare_keys, search_index, near_dup_groups, exact_dup_groups, document_copies,
+    text_clean, text_words, stopword_filter, stem_lemma, prepare_keys, search_index, search_texts, near_dup_groups, exact_dup_groups, document_copies,
     tfidf_vocabulary, tfidf_weights, tfidf_top_terms, doc_norms, top_tokens, recipe_tfidf_top_terms, cosine_knn_sparse, cosine_knn_dense,
     cooccurrence, ppmi, top_contexts, hash_signs, word_vectors, document_embeddings, semantic_search, contextual_vectors,
     stratified_split, nb_priors, nb_likelihoods, nb_predict, nb_confusion, nb_metrics, nb_summary,

@@ -156,6 +156,10 @@ SQL: dict[str, str] = {
       SELECT key AS recipe_id, sha256(array_to_string(list_sort(list_distinct(tokens)), ' ')) AS near_duplicate_key, n::INT AS n_lemmas, 'pln-aula-5-v2' AS version FROM docs JOIN l USING (key)""",
     "search_index": f"""WITH w AS (SELECT site_recipe_id AS recipe_id, {words('title')} AS w FROM recipes), c AS (SELECT *, {content('w')} AS c FROM w)
       SELECT recipe_id, array_to_string(list_sort(list_distinct(list_concat(w, list_transform(c, lambda t: {stem('t')}), list_transform(c, lambda t: {lemma('t')})))), ' ') AS words FROM c""",
+    "search_texts": f"""WITH t AS (SELECT site_recipe_id AS r, title AS t FROM recipes UNION ALL SELECT site_recipe_id, description FROM recipes UNION ALL SELECT site_recipe_id, origin_category FROM recipes
+      UNION ALL SELECT recipe_id, raw_text FROM ingredients UNION ALL SELECT recipe_id, raw_text FROM preparation_steps), w AS (SELECT DISTINCT r, unnest({words('t')}) AS w FROM t),
+      a AS (SELECT r, w FROM w UNION SELECT r, {stem('w')} FROM w WHERE w NOT IN {in_list(L.STOPWORDS)} UNION SELECT r, {lemma('w')} FROM w WHERE w NOT IN {in_list(L.STOPWORDS)})
+      SELECT site_recipe_id AS recipe_id, coalesce(string_agg(w, ' ' ORDER BY w), '') AS words FROM recipes LEFT JOIN a ON a.r = site_recipe_id GROUP BY 1""",
     "near_dup_groups": f"WITH {DOCS}, k AS (SELECT key, sha256(array_to_string(list_sort(list_distinct(tokens)), ' ')) AS near_key FROM docs WHERE len(tokens) > 0) SELECT near_key, count(*) AS copies, min(key) AS first_doc FROM k GROUP BY near_key HAVING count(*) > 1",
     "document_copies": "WITH g AS (SELECT text, min(doc_id) AS canonical FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1) SELECT doc_id::VARCHAR AS doc_id, canonical::VARCHAR AS canonical FROM documents JOIN g USING (text) WHERE doc_id <> canonical",
     "tfidf_vocabulary": f"WITH {DOCS}, {WEIGHTS} SELECT term, df.df, round(ln(n.n * 1.0 / df.df), 6) AS idf FROM df, n",

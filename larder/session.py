@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -53,7 +54,7 @@ def ship(spark: SparkSession) -> None:
     """Makes this package importable on the executors, once per application.
 
     Nothing is done where the workers find it anyway: on the driver's own machine, by PYTHONPATH or as
-    the working directory. Elsewhere the package goes along as an archive of the application.
+    the working directory. Elsewhere the package goes along as an archive in the shared folder.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
@@ -64,11 +65,16 @@ def ship(spark: SparkSession) -> None:
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if master.startswith("local") and (root in known or (not master.startswith("local-cluster") and Path.cwd() == root)):
         return
-    archive = Path(tempfile.mkdtemp(prefix="larder-")) / "larder.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(root))
-    context.addPyFile(str(archive))
+    place = f"{shared_dir(spark).rstrip('/')}/larder-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(place)
 
 
 class Scratch:

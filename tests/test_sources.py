@@ -71,6 +71,23 @@ def test_logs_and_schemas(spark, tmp_path):
     assert [r.l for r in j] == [["a", "b"], [], []]
 
 
+def test_category_config(spark, tmp_path):
+    from larder.sources.config import read_categories
+
+    rows = [{"key": "a", "name": "A", "url": "u", "enabled": True}, {"key": "b", "name": "B", "url": "v", "enabled": False}]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    (tmp_path / "b.json").write_text(json.dumps({"categories": rows}))
+    assert [r.key for r in read_categories(spark, str(tmp_path / "a.json")).collect()] == ["a"] == [r.key for r in read_categories(spark, str(tmp_path / "b.json")).collect()]
+
+
+def test_finished_runs(spark):
+    from larder.operators.corpus import finished
+
+    runs = spark.createDataFrame([(1, "running", None), (2, "running", 5)], "run_id long, status string, n int")
+    done = spark.createDataFrame([(1, "completed", 7), (3, "completed", 1)], "run_id long, status string, n int")
+    assert {tuple(r) for r in finished(runs, done).collect()} == {(1, "completed", 7), (2, "running", 5), (3, "completed", 1)}
+
+
 def test_stream_ingest(spark, tmp_path):
     from larder.streaming import ingest, windows
 
