@@ -50,7 +50,7 @@ _ADDRESS = re.compile(
     rf"(?<![\w@./\-])(?:{STREETS_FIRST})(?:(?<=[./])|(?=[    \t]))[    \t]{{0,2}}(?:(?:{TITLES}|{_WORD}){_GAP}){{0,5}}?(?:{_WORD}),?[    \t]{{0,2}}(?:(?:n\.?[ºo°]?|nº|n°|núm\.?|num\.?|número|numero|nro\.?|no\.)[    \t]{{0,2}})?"
     rf"(?P<house>\d{{1,5}})(?!\d|[.,:]\d|/\d)(?:[    \t]?-?[A-Za-z](?!\w|\.\w|[̀-ͯ]))?", re.I)
 _ADDRESS_EN = re.compile(rf"(?<![\w.,/\-])\d{{1,5}}(?:-?[A-Za-z](?!\w))?{_GAP}(?:{_WORD}{_GAP}){{1,3}}?(?:{STREETS_LAST})(?!\w)", re.I)
-_URL = re.compile(r"https?://\S+|www\.\S+", re.I)
+_URL = re.compile(r"(?<![\w@.])(?:https?://|www\.)\S+", re.I)
 _DATE = re.compile(r"(?<![\d.\-/])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2}))(?![\d\-/]|\.\d)")
 _NUMBER = re.compile(r"(?<![\w.,/+\-(])(?:\+|\(\+?)?\d(?:[  .\-]?\(?\d|\)[  \-.]{0,2}\d|[    \t]\(\d)*(?:-?[A-Za-z](?![\w]))?(?![\w/]|[.,]\d)")
 _CODED = re.compile(r"(?<![\w.\-/])(?:[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d]|[XYZxyz]-?\d{7}-?[A-Za-z]|\d{3}-\d{2}-\d{4})(?![\w\-])")
@@ -80,11 +80,10 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in busy)
 
+    busy += [m.span() for m in _URL.finditer(text)]
     for m in _EMAIL.finditer(text):
-        sure.append(("EMAIL", m.start(), m.end()))
-        busy.append(m.span())
-    for m in _URL.finditer(text):
         if free(*m.span()):
+            sure.append(("EMAIL", m.start(), m.end()))
             busy.append(m.span())
     for pattern in (_ADDRESS, _ADDRESS_EN):
         for m in pattern.finditer(text):

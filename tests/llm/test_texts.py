@@ -80,7 +80,7 @@ def corpus():
     texts, truth = [], []
     rng = random.Random(5)
     for i in range(120):
-        name = f"{rng.choice(GIVEN if i % 4 else ['Leopoldina', 'Tavico'])} {rng.choice(SURNAMES)}"
+        name = f"{rng.choice(GIVEN if i % 5 else ['Leopoldina', 'Tavico'])} {rng.choice(SURNAMES)}"
         frame = ["Meu nome é {} e moro aqui.", "Ligue para {} no (70) 9 1043-8593 depois.", "Créditos: {}.\nFicou bom.", "Enviado por {} <a.b+c{}@x.example>."][i % 4]
         text = frame.format(name, i)
         texts.append((i, text))
