@@ -228,15 +228,27 @@ def fit(sample: np.ndarray, total: int, window: int, curves: int, dims: int = 8,
     return out
 
 
-def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passing(s: np.ndarray, peaks: np.ndarray, floor: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of ``s`` at or above the row's ``floor`` (and under ``below``), by rows; only chunks whose peak passes are looked into."""
+    r, c = np.nonzero(peaks >= floor[:, None])
+    inner = s.reshape(len(s), -1, peaks.shape[1])[r, :, c]
+    high = inner >= floor[r, None]
+    if below is not None:
+        high &= inner < below[r, None]
+    i, j = np.nonzero(high)
+    return r[i], j * peaks.shape[1] + c[i]
+
+
+def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float, wide: int, rest: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour, similarity) of the ``k`` best neighbours at or above ``limit`` of each row.
 
-    Block products give similarities with an error of about ``slack``; the largest ``wide`` of a row and
-    all that are within the slack of them are computed exactly. Maxima of chunks of columns bound the
+    Block products give similarities with an error of about ``slack``. The largest ``wide`` of a row are
+    computed exactly, then (with ``rest``) all others that may still be among its ``k`` best: those within the slack of
+    the ``k``-th exact value, or of the limit where fewer reach it. Maxima of chunks of columns bound the
     ``wide``-th largest from below, so no row is sorted.
     """
     n = len(x)
-    rows, cols = [], []
+    rows, cols, sims = [], [], []
     chunk = 32
     pad = -n % chunk
     xt = np.concatenate([x, np.zeros((pad, x.shape[1]), dtype=np.float32)]).T.copy()
@@ -253,14 +265,24 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
         else:
             floor = np.full(m, -2.0)
         floor = np.maximum(floor, limit - slack).astype(np.float32)
-        # Only chunks whose peak passes are looked into.
-        r, c = np.nonzero(peaks >= floor[:, None])
-        inner = s.reshape(m, chunk, -1)[r, :, c] >= floor[r, None]
-        i, j = np.nonzero(inner)
-        rows.append(r[i] + lo)
-        cols.append(j * peaks.shape[1] + c[i])
-    a, b = np.concatenate(rows), np.concatenate(cols)
-    sim = np.round(v.dots(a, b), 9)
+        i, j = _passing(s, peaks, floor, None)
+        sim = np.round(v.dots(i + lo, j), 9)
+        rows.append(i + lo)
+        cols.append(j)
+        sims.append(sim)
+        if not rest:
+            continue
+        # The k-th exact value so far decides what of the rest may still matter.
+        order = np.lexsort((-sim, i))
+        place = np.arange(len(i)) - np.searchsorted(i[order], np.arange(m))[i[order]]
+        last = np.full(m, float(limit))
+        kth = order[place == k - 1]
+        last[i[kth]] = np.maximum(sim[kth], limit)
+        r, c = _passing(s, peaks, np.minimum(floor, (last - slack).astype(np.float32)), floor)
+        rows.append(r + lo)
+        cols.append(c)
+        sims.append(np.round(v.dots(r + lo, c), 9))
+    a, b, sim = np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
     keep = sim >= limit
     a, b, sim = a[keep], b[keep], sim[keep]
     rank = np.argsort(np.argsort(v.ids.astype(str), kind="stable"))
