@@ -114,3 +114,49 @@ def test_found(spark):
     ("fone +55 (20) 96037 9735", ["PHONE"]), ("id QQ 47 56 88 C", ["ID"]), ("id 666-77-9071", ["ID"]), ("dni 71780149-A", ["ID"]), ("em 2025-09-03 custa R$ 1.592,00", []), ("Rua das Flores", []), ("bata aveia em flocos por 44 minutos", [])])
 def test_shapes(text, kinds):
     assert [k for k, _, _ in personal.spans(text)[0]] == kinds
+
+
+def test_numbers_follow_their_patterns(spark):
+    """Numbers in no telling shape are what seeds behind the same words are; a pattern no seed follows says they are nothing."""
+    rows = [(i, f"Ligue no (80) 9{i:04d}-12{i % 90 + 10} hoje.") for i in range(30)]
+    rows += [(100 + i, f"Bom bolo. Ligue no 80.9{i:04d}.77{i % 90 + 10} hoje.") for i in range(20)]
+    rows += [(200 + i, f"Receita nº 2025.{i + 100}.{i + 300} do caderno.") for i in range(30)]
+    # A seed's shape in a place that many others show to be no telephone's.
+    rows += [(300, "Receita nº 9123.4567.899 do caderno."), (301, "Receita nº 92345-6789 do caderno.")]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    got = {(r.doc, r.kind) for r in personal.found(df, "doc", "text", spark.createDataFrame([("Ana",)], "g string"), "g").collect()}
+    assert got == {(i, "PHONE") for i in range(30)} | {(100 + i, "PHONE") for i in range(20)}
+
+
+def test_places_follow_their_patterns(spark):
+    rows = [(i, f"Entregamos na Rua {SURNAMES[i % 10]} {SURNAMES[i % 7]}, {i + 10}, apto 2.") for i in range(40)]
+    rows += [(100, "Entregamos na Servidão Lopes Tal, 77, apto 9."), (101, "Vi a Servidão Lopes Tal 77 vezes."), (102, "Entregamos na avenida 7 de setembro 120, casa."), (103, "Use 2 Large Ginger Hill agora.")]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    got = {(r.doc, dict(rows)[r.doc][r.start_char:r.end_char]) for r in personal.found(df, "doc", "text", spark.createDataFrame([("Ana",)], "g string"), "g").collect() if r.doc >= 100}
+    assert got == {(100, "Servidão Lopes Tal, 77"), (102, "avenida 7 de setembro 120")}
+
+
+def test_names_of_any_length_and_copies(spark):
+    texts, _ = corpus()
+    long = "Heitor " + " ".join(SURNAMES[:7])
+    texts += [(800, f"Meu nome é {long} e moro aqui."), (801, "Meu nome é Célia Napiez e Raul Bojerl e moro aqui.")]
+    # One text copied often, with a surname in lower case, makes no ordinary word of it.
+    texts += [(1000 + i, "napiez. bojerl. zacheski.") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc long, text string")
+    names = spark.createDataFrame([(g,) for g in GIVEN], "given string")
+    got = [(r.doc, dict(texts)[r.doc][r.start_char:r.end_char]) for r in personal.found(df, "doc", "text", names, "given").collect() if r.kind == "NAME"]
+    assert sorted(x for x in got if 800 <= x[0] < 900) == [(800, long), (801, "Célia Napiez"), (801, "Raul Bojerl")]
+    assert not [x for x in got if x[0] >= 1000] and len([x for x in got if x[0] < 500]) == 120
+
+
+@pytest.mark.parametrize("part", ["MARIA SOUZA SILVA ", "maria souza ", "joe.at.", "Rua A B C D E F 9 ", "1 2 3 4 5 6 ", "a@b.example 11 91234-5678 "])
+def test_work_is_linear_in_the_text(part):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        personal.candidates(part * n, frozenset(["maria"]))
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16000) < 10 * seconds(4000) + 0.2
