@@ -234,62 +234,184 @@ def stated_amounts(texts: DataFrame, text: str, units: DataFrame, kind: str) ->
     return out.where(F.col("_parsed.amount").isNotNull()).select(*rest, "_parsed.base_unit", "_parsed.amount")
 
 
-def infer_units(values: DataFrame, subject: str, value: str, stated: DataFrame, candidates: dict[str, float], *, rounds: int = 8,
+_bare = re.compile(rf"[^a-z0-9]*{_ABOUT}(?P<n>{_NUMBER})(?:\s*(?:-|a|ate|ou)\s*(?P<hi>{_NUMBER}))?(?![\w,./])\s*(?P<rest>.*)")
+_other = re.compile(r"(?:cm|mm|m|metros?|graus?|c|f|min|mins|minutos?|horas?|hs?|dias?|segundos?|seg|x|vezes)(?![a-z])|[%°º:/]")
+_noun = re.compile(r"(?<![a-z])(?!(?:das?|dos?|com|sem|para|por|uma|uns|umas|mais|que)(?![a-z]))[a-z][a-z\-]{2,}")
+
+
+def _subject(*texts: str) -> str | None:
+    """The first word of the texts that can name a thing, without a plural's s."""
+    m = next((m for t in texts if (m := _noun.search(t))), None)
+    return m.group().rstrip("s") if m else None
+
+
+def bare_number(text: str | None) -> tuple[float, str | None] | None:
+    """The number a line or duration begins with that has no unit, and the thing it counts or measures; of a range the lower end."""
+    line = fold_amounts(text)
+    m = _bare.match(line)
+    if not m or _other.match(m.group("rest")):
+        return None
+    n = _value(m.group("n"))
+    return float(min(n, _value(m.group("hi"))) if m.group("hi") else n), _subject(m.group("rest"))
+
+
+def measured_thing(text: str | None) -> tuple[str, str | None] | None:
+    """The unit code of the first stated measure and the thing measured."""
+    line = fold_amounts(text)
+    m = _kitchen.search(line)
+    while m and _no_amount(line, m):
+        m = _kitchen.search(line, m.end())
+    return (_which(m, "u_", KITCHEN), _subject(line[m.end():], line[: m.start()])) if m else None
+
+
+def duration_unit(text: str | None) -> str | None:
+    """The unit code of the first stated part of a duration, null where it is written as a clock's or in the ISO form."""
+    m = _time.search(fold_amounts(text))
+    return _which(m, "u_", TIME) if m else None
+
+
+def amounts_and_numbers(texts: DataFrame, text: str, units: DataFrame, kind: str) -> DataFrame:
+    """The rows of ``texts`` that state an amount or begin with a number without a unit.
+
+    Columns added (those of these names are replaced): ``subject``, ``unit``, ``base_unit`` and ``amount``
+    where a unit is stated, else ``number``. ``kind`` is ``kitchen`` or ``duration``; durations have the
+    subject ``duration``.
+    """
+    if kind not in ("kitchen", "duration"):
+        raise ValueError(kind)
+    factors = unit_factors(units)
+
+    def read(x: str) -> tuple:
+        got = kitchen_amount(x, factors) if kind == "kitchen" else duration_amount(x, factors)
+        if got:
+            unit, thing = measured_thing(x) or (None, None) if kind == "kitchen" else (duration_unit(x), "duration")
+            return thing, unit, got[0], float(got[1]), None
+        number = bare_number(x)
+        return (number[1] if kind == "kitchen" else "duration", None, None, None, number[0]) if number else (None,) * 5
+
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cached = lru_cache(maxsize=50_000)(read)
+        for batch in batches:
+            got = [cached(x) if isinstance(x, str) else (None,) * 5 for x in batch]
+            yield pd.DataFrame(got, columns=["subject", "unit", "base_unit", "amount", "number"]).astype({"amount": "float64", "number": "float64"})
+
+    names = ["subject", "unit", "base_unit", "amount", "number"]
+    udf = F.pandas_udf(parse, "subject string, unit string, base_unit string, amount double, number double")
+    rest = [c for c in texts.columns if c not in names]
+    out = texts.select(*rest, udf(F.col(text)).alias("_parsed")).select(*rest, "_parsed.*")
+    number, amount = (F.when(~F.isnan(c), F.col(c)) for c in ("number", "amount"))
+    return out.withColumns({"number": number, "amount": amount}).where("number IS NOT NULL OR amount IS NOT NULL")
+
+
+#: Pseudo-observations a subject's own shares and centres are shrunk by.
+SHRINK = 5.0
+#: Least share of measures whose unit is left out.
+DROPPED = 1e-3
+
+
+def infer_units(values: DataFrame, subject: str, value: str, stated: DataFrame, candidates: dict[str, float | tuple[str, float]], *, counts: bool = False, rounds: int = 6,
                 sure: float = 0.9, min_sigma: float = 0.25) -> DataFrame:
-    """Units of numbers that have none: ``(…values columns, unit, posterior, base_amount, uncertain)``.
-
-    ``stated`` has ``(subject, base_amount)`` of measures of the same dimension whose unit is known;
-    ``candidates`` gives each possible unit's factor to the base. On the log scale a subject's amounts
-    are normal around its own centre, so a bare number v is a mixture of normals at
-    centre - log(factor), one per candidate. Expectation maximisation fits centres (shrunk to the
-    collection's centre), one spread and the unit weights over all rows; each round is two partially
-    combined aggregations. A row is assigned its most probable unit (ties: smaller factor), and is
-    ``uncertain`` below ``sure``. Values that are null or not positive give a null unit, posterior 0,
-    uncertain true. Without any stated amount the collection's centre comes from the bare numbers.
+    """Units of numbers that have none: ``(…values columns, unit, posterior, base_unit, base_amount, uncertain)``.
+
+    ``candidates`` gives each possible unit's factor to its base, or (base, factor) where there are several
+    bases. ``stated`` has ``(subject, base_amount)`` of amounts whose unit is known, and may have
+    ``base_unit`` and ``unit``. On the log scale the amounts of a subject and base are normal around their
+    own centre, so a bare number v is a mixture of normals at centre - log(factor), one per unit. With
+    ``counts`` one more component is no measure at all: a number of pieces, normal around a centre of its
+    own that no factor shifts; its unit is ``count``, its base null.
+
+    Weights: a base's as often as it is stated for the subject, a unit's as often as it is stated for its
+    base, counts' as often as the subject is counted rather than measured (all shrunk to the collection's);
+    a measure lacks its unit with one probability everywhere, ``DROPPED`` at least. Expectation
+    maximisation fits the counts' centre, spread and shares, that probability and the subjects' centres; each
+    round is a join with one row per subject and a partially combined aggregation. A row gets its most
+    probable component (ties: count, then the smaller factor) and is ``uncertain`` below ``sure`` or
+    without a subject. Values that are null or not positive give a null unit, posterior 0, uncertain
+    true. Without any stated amount of a base its centre comes from the bare numbers.
     """
-    spark = values.sparkSession
-    scratch = Scratch(spark)
-    own = [c for c in values.columns if c not in ("unit", "posterior", "base_amount", "uncertain", "_row")]
-    names = sorted(candidates, key=lambda u: (candidates[u], u))
+    scratch = Scratch(values.sparkSession)
+    added = ("unit", "posterior", "base_unit", "base_amount", "uncertain")
+    own = [c for c in values.columns if c not in (*added, "_row")]
+    pairs = {u: f if isinstance(f, tuple) else ("", float(f)) for u, f in candidates.items()}
+    names = sorted(pairs, key=lambda u: (pairs[u][1], u))
+    bases = sorted({b for b, _ in pairs.values()})
+    at = {b: i for i, b in enumerate(bases)}
     bare = scratch.save(values.select(*own).withColumn("_row", F.monotonically_increasing_id()))
-    x = bare.where(F.col(value) > 0).select("_row", F.col(subject).alias("s"), F.log(F.col(value).cast("double")).alias("x"))
-    known = stated.where(F.col("base_amount") > 0).select(F.col(subject).alias("s"), F.log(F.col("base_amount").cast("double")).alias("y"))
-    known = scratch.save(known.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
-    whole = known.agg(F.sum("n"), F.sum("sy"), F.sum("syy")).first()
-    n, sy, syy = (float(v or 0) for v in whole)
-    middle = math.log(sorted(candidates.values())[len(candidates) // 2])
-    mu = sy / n if n else float(x.agg(F.avg("x")).first()[0] or 0.0) + middle
-    sigma = max(min_sigma, math.sqrt(max(0.0, syy / n - mu * mu))) if n > 1 else 1.0
-    weight = {u: 1 / len(names) for u in names}
-    soft = known.select("s", "n", "sy").withColumn("n", F.col("n").cast("double"))
+    x = bare.where(F.col(value) > 0).select("_row", F.coalesce(F.col(subject), F.lit("")).alias("s"), F.log(F.col(value).cast("double")).alias("x"))
+    base_of = F.col("base_unit") if "base_unit" in stated.columns else F.lit(bases[0])
+    unit_of = F.col("unit") if "unit" in stated.columns else F.lit(None).cast("string")
+    said = stated.where(F.col("base_amount") > 0).select(F.coalesce(F.col(subject), F.lit("")).alias("s"), base_of.alias("b"), unit_of.alias("u"), F.log(F.col("base_amount").cast("double")).alias("y"))
+    said = scratch.save(said.where(F.col("b").isin(bases)).groupBy("s", "b", "u").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
+    per = said.groupBy("s", "b").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
+    known = scratch.save(per)
+    whole = {r.b: r for r in known.groupBy("b").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum(F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")).alias("within")).collect()}
+    used = {r.u: r.n for r in said.where(F.col("u").isin(names)).groupBy("u").agg(F.sum("n").alias("n")).collect()}
+    mean_x = float(x.agg(F.avg("x")).first()[0] or 0.0)
+    mu, sigma, share, total = {}, {}, {}, sum(r.n for r in whole.values())
+    for b in bases:
+        mine = [u for u in names if pairs[u][0] == b]
+        r = whole.get(b)
+        mu[b] = r.sy / r.n if r else mean_x + math.log(pairs[mine[len(mine) // 2]][1])
+        sigma[b] = max(min_sigma, math.sqrt(max(0.0, r.within / r.n))) if r and r.n > 1 else 1.0
+        share[b] = ((r.n if r else 0) + 1) / (total + len(bases))
+    weight = {u: (used.get(u, 0) + 1) / (sum(used.get(v, 0) + 1 for v in names if pairs[v][0] == pairs[u][0])) for u in names}
+    pieces, spread, portion, dropped = math.log(2.0), 1.0, 0.5 if counts else 0.0, 0.05
+    about = known.groupBy("s").agg(*[F.sum(F.when(F.col("b") == b, F.col(c)).otherwise(0.0)).alias(f"{c}{i}") for b, i in at.items() for c in ("n", "sy")])
+    about = scratch.save(about.withColumns({f"m{i}": F.col(f"n{i}") for i in at.values()} | {"pieces": F.lit(0.0), "bare": F.lit(0.0)}))
+
+    def components() -> tuple[DataFrame, list[Column]]:
+        """Rows with what is known of their subject, and the log weight and density of each component, counts' first."""
+        rows = x.join(about, "s", "left").fillna(0.0)
+        measured = sum((F.col(f"m{i}") for i in at.values()), F.lit(0.0))
+        counted = (F.col("pieces") + SHRINK * portion) / (F.col("pieces") + measured + SHRINK)
+        of_pieces = counted / (counted + (1 - counted) * dropped)
+        logs = [F.log(of_pieces) - math.log(spread) - F.pow((F.col("x") - pieces) / spread, 2) / 2] if counts else []
+        for u in names:
+            b, f = pairs[u]
+            i = at[b]
+            centre = (F.col(f"sy{i}") + mu[b]) / (F.col(f"n{i}") + 1.0)
+            of_base = (F.col(f"m{i}") + SHRINK * share[b]) / (measured + SHRINK)
+            logs.append(F.log((1 - of_pieces if counts else F.lit(1.0)) * of_base * weight[u]) - math.log(sigma[b]) - F.pow((F.col("x") + math.log(f) - centre) / sigma[b], 2) / 2)
+        return rows, logs
+
     for _ in range(rounds):
-        centre = soft.select("s", ((F.col("sy") + mu) / (F.col("n") + 1.0)).alias("c"))
-        with_c = x.join(centre, "s", "left").withColumn("c", F.coalesce("c", F.lit(mu)))
-        logs = {u: F.lit(math.log(weight[u])) - F.pow((F.col("x") + math.log(candidates[u]) - F.col("c")) / sigma, 2) / 2 for u in names}
-        peak = F.greatest(*logs.values()) if len(names) > 1 else logs[names[0]]
-        e = with_c.withColumn("peak", peak).select("s", "x", "c", *[F.exp(logs[u] - F.col("peak")).alias(f"e{i}") for i, u in enumerate(names)])
-        z = sum(F.col(f"e{i}") for i in range(len(names)))
-        r = e.select("s", "x", "c", *[(F.col(f"e{i}") / z).alias(f"r{i}") for i in range(len(names))])
-        shift = sum(F.col(f"r{i}") * (F.col("x") + math.log(candidates[u])) for i, u in enumerate(names))
-        square = sum(F.col(f"r{i}") * F.pow(F.col("x") + math.log(candidates[u]) - F.col("c"), 2) for i, u in enumerate(names))
-        per = scratch.save(r.groupBy("s").agg(F.count("*").cast("double").alias("n"), F.sum(shift).alias("sy"), F.sum(square).alias("sq"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(names))]))
-        tot = per.agg(F.sum("n"), F.sum("sy"), F.sum("sq"), *[F.sum(f"r{i}") for i in range(len(names))]).first()
+        rows, logs = components()
+        rows = rows.select("s", "x", F.array(*logs).alias("logs")).withColumn("peak", F.array_max("logs"))
+        rows = rows.select("s", "x", F.transform("logs", lambda v: F.exp(v - F.col("peak"))).alias("e"))
+        z = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
+        rows = rows.select("s", "x", F.transform("e", lambda v: v / z).alias("r"))
+        resp = lambda j: F.get("r", F.lit(j))
+        first = 1 if counts else 0
+        sums = [F.count("*").cast("double").alias("bare")]
+        for b, i in at.items():
+            mine = [(j + first, math.log(pairs[u][1])) for j, u in enumerate(names) if pairs[u][0] == b]
+            sums.append(F.sum(sum((resp(j) for j, _ in mine), F.lit(0.0))).alias(f"rn{i}"))
+            sums.append(F.sum(sum((resp(j) * (F.col("x") + f) for j, f in mine), F.lit(0.0))).alias(f"ry{i}"))
+        piece = resp(0) if counts else F.lit(0.0)
+        sums += [F.sum(piece).alias("pieces"), F.sum(piece * F.col("x")).alias("px"), F.sum(piece * F.col("x") * F.col("x")).alias("pxx")]
+        each = scratch.save(rows.groupBy("s").agg(*sums))
+        tot = each.agg(*[F.sum(c) for c in ("bare", "pieces", "px", "pxx")]).first()
         if not tot[0]:
             break
-        weight = {u: max(1e-6, float(tot[3 + i]) / float(tot[0])) for i, u in enumerate(names)}
-        mu = (sy + float(tot[1])) / (n + float(tot[0]))
-        spread = (max(0.0, syy - sy * sy / n) if n else 0.0) + float(tot[2])
-        sigma = max(min_sigma, min(3.0, math.sqrt(spread / (n + float(tot[0])))))
-        both = known.select("s", F.col("n").cast("double").alias("n"), "sy").unionByName(per.select("s", "n", "sy"))
-        soft = scratch.save(both.groupBy("s").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy")))
-    centre = soft.select("s", ((F.col("sy") + mu) / (F.col("n") + 1.0)).alias("c"))
-    scored = x.join(centre, "s", "left").withColumn("c", F.coalesce("c", F.lit(mu)))
-    logs = [(F.lit(math.log(weight[u])) - F.pow((F.col("x") + math.log(candidates[u]) - F.col("c")) / sigma, 2) / 2) for u in names]
-    best = F.array_max(F.array(*[F.struct(l.alias("l"), F.lit(-i).alias("i")) for i, l in enumerate(logs)]))
-    scored = scored.withColumn("best", best)
-    z = sum((F.exp(l - F.col("best.l")) for l in logs[1:]), F.exp(logs[0] - F.col("best.l")))
-    table_of = lambda vals, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in vals]), 1 - F.col("best.i"))
-    named = scored.select("_row", table_of(names, "string").alias("unit"), (1 / z).alias("posterior"), table_of([candidates[u] for u in names], "double").alias("f"))
+        if counts:
+            portion = min(1 - 1e-6, max(1e-6, tot[1] / (tot[0] + total)))
+            dropped = min(0.5, max(DROPPED, (tot[0] - tot[1]) / (tot[0] - tot[1] + total))) if total else 0.5
+            if tot[1] > 1:
+                pieces = tot[2] / tot[1]
+                spread = max(0.3, math.sqrt(max(0.0, tot[3] / tot[1] - pieces * pieces)))
+        stated_of = known.groupBy("s").agg(*[F.sum(F.when(F.col("b") == b, F.col(c)).otherwise(0.0)).alias(f"k{c}{i}") for b, i in at.items() for c in ("n", "sy")])
+        both = stated_of.join(each, "s", "full").fillna(0.0)
+        about = scratch.save(both.select("s", "pieces", "bare", *[c for i in at.values() for c in (
+            F.col(f"kn{i}").alias(f"m{i}"), (F.col(f"kn{i}") + F.col(f"rn{i}")).alias(f"n{i}"), (F.col(f"ksy{i}") + F.col(f"ry{i}")).alias(f"sy{i}"))]))
+    rows, logs = components()
+    labels = (["count"] if counts else []) + names
+    best = F.array_max(F.array(*[F.struct(l.alias("l"), F.lit(-j).alias("j")) for j, l in enumerate(logs)]))
+    rows = rows.withColumns({"logs": F.array(*logs), "best": best})
+    posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("best.l")))
+    pick = lambda vals, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in vals]), -F.col("best.j"))
+    base_names = ([None] if counts else []) + [pairs[u][0] or None for u in names]
+    named = rows.select("_row", pick(labels, "string").alias("unit"), posterior.alias("posterior"), pick(base_names, "string").alias("base_unit"),
+                        pick(([None] if counts else []) + [pairs[u][1] for u in names], "double").alias("_f"))
     out = bare.join(named, "_row", "left")
-    return out.select(*own, "unit", F.round(F.coalesce("posterior", F.lit(0.0)), 6).alias("posterior"), (F.col(value) * F.col("f")).alias("base_amount"),
-                      (F.coalesce("posterior", F.lit(0.0)) < sure).alias("uncertain"))
+    p = F.coalesce("posterior", F.lit(0.0))
+    return out.select(*own, "unit", F.round(p, 6).alias("posterior"), "base_unit", (F.col(value) * F.col("_f")).alias("base_amount"), ((p < sure) | F.col(subject).isNull()).alias("uncertain"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.functions.words import folded
 from larder.operators import catalogue, corpus, units
+from larder.session import Scratch
 from larder.sources import html as html_source
 from larder.sources.tables import table
 
@@ -27,17 +28,20 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_inferred(spark: SparkSession, root: str) -> DataFrame:
-    """Units of the ingredient numbers that state none, from the amounts stated of the same ingredient elsewhere."""
-    lines = table(spark, root, "ingredients").select("recipe_id", "line_position", "raw_text").distinct()
-    text = folded(F.col("raw_text"))
-    bare = lines.select("recipe_id", "line_position", "raw_text", text.alias("t")).withColumn("number", F.regexp_extract("t", r"^\s*(\d{1,6})\s+[a-z]{3,}", 1))
+    """What every number without a unit is: a unit inferred from the amounts stated of the same thing, or a count of pieces."""
     reference = table(spark, root, "unit_reference")
-    named = bare.withColumn("subject", F.regexp_extract("t", r"([a-z]{5,})(?:\s+(?:para a|em|bem|sem)\s.*)?$", 1))
-    stated = units.stated_amounts(named, "raw_text", reference, "kitchen")
-    mass = stated.where("base_unit = 'mg' AND subject <> ''").select("subject", F.col("amount").alias("base_amount"))
-    without = named.where("number <> '' AND subject <> ''").join(stated.select("recipe_id", "line_position"), ["recipe_id", "line_position"], "left_anti")
-    values = without.select("recipe_id", "line_position", "subject", F.col("number").cast("double").alias("number"))
-    return units.infer_units(values, "subject", "number", mass, {"mg": 1.0, "g": 1e3, "oz": 28350.0, "lb": 453592.0, "kg": 1e6})
+    known = [(r.unit_code, r.base_unit, float(r.factor_to_base)) for r in reference.select("unit_code", "base_unit", "factor_to_base").dropna().limit(units.MAX_UNITS).collect()]
+    scratch = Scratch(spark)
+    lines = table(spark, root, "ingredients").select("recipe_id", F.lit("ingredient").alias("field_name"), "line_position", "raw_text").distinct()
+    times = table(spark, root, "recipes").select(F.col("site_recipe_id").alias("recipe_id"), F.lit("prep_time").alias("field_name"), F.lit(0).alias("line_position"), F.col("prep_time_raw").alias("raw_text"))
+    parts = []
+    for rows, kind, codes in ((lines, "kitchen", units.KITCHEN), (times, "duration", units.TIME)):
+        read = scratch.save(units.amounts_and_numbers(rows, "raw_text", reference, kind).drop("raw_text"))
+        stated = read.where("amount IS NOT NULL").select("subject", "unit", "base_unit", F.col("amount").alias("base_amount"))
+        bare = read.where("number IS NOT NULL").select("recipe_id", "field_name", "line_position", "subject", "number")
+        candidates = {u: (b, f) for u, b, f in known if u in codes}
+        parts.append(units.infer_units(bare, "subject", "number", stated, candidates, counts=kind == "kitchen"))
+    return parts[0].unionByName(parts[1])
 
 
 def url_canonical(spark, root):

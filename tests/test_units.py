@@ -42,3 +42,35 @@ def test_inferred_units(spark):
     assert got["flour", 480.0].unit == "g" and got["flour", 0.5].unit == "kg" and not got["flour", 480.0].uncertain
     assert got["yeast", 10.0].unit == "g" and got["yeast", None].unit is None and got["yeast", None].uncertain
     assert 0 < got["new", 3.0].posterior <= 1
+
+
+def test_counts_stay_counts(spark):
+    """Pieces are no measures, a dropped unit is recovered, and what may be either is flagged."""
+    ref = spark.createDataFrame([(k, b, float(f)) for k, (b, f) in F_.items()], "unit_code string, base_unit string, factor_to_base double")
+    lines = [f"{n} g de farinha de trigo" for n in (300, 350, 400, 500, 250)] * 8 + [f"{n} ml de leite integral" for n in (200, 250, 300, 150)] * 8 + ["1 oz de queijo", "2 xícaras de farinha"]
+    bare = [("8 ovos amassado", "count"), ("½ cebola", "count"), ("duas bananas", "count"), ("3 a 4 dentes de alho", "count"), ("6 folhas de louro", "count"), ("2 cubos de caldo", "count"), ("1,5 limão", "count"),
+            ("350 farinha", "g"), ("400 de farinha de trigo bem firme", "g"), ("250 leite", "ml"), ("200 sal", None), ("12", None)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines + [t for t, _ in bare] * 3 + ["24 cm de papel", "água a 40 °C", "", "ovos"])] + [(9999, None)], "id long, raw_text string")
+    read = U.amounts_and_numbers(rows, "raw_text", ref, "kitchen")
+    assert read.where("amount IS NOT NULL").count() == len(lines)
+    stated = read.where("amount IS NOT NULL").select("subject", "unit", "base_unit", read.amount.alias("base_amount"))
+    numbers = read.where("number IS NOT NULL")
+    assert numbers.count() == 3 * len(bare)
+    candidates = {k: (b, float(f)) for k, (b, f) in F_.items() if k in U.KITCHEN}
+    got = {r.raw_text: r for r in U.infer_units(numbers.drop("amount"), "subject", "number", stated, candidates, counts=True).collect()}
+    for text, want in bare:
+        if want:
+            assert (got[text].unit, got[text].uncertain) == (want, False), (text, got[text])
+    assert got["350 farinha"].base_amount == 350000 and got["350 farinha"].base_unit == "mg" and got["8 ovos amassado"].base_amount is None
+    assert got["12"].uncertain and got["12"].subject is None and "200 sal" in got
+    empty = numbers.limit(0)
+    assert U.infer_units(empty, "subject", "number", stated.limit(0), candidates, counts=True).count() == 0
+
+
+def test_bare_durations(spark):
+    ref = spark.createDataFrame([(k, b, float(f)) for k, (b, f) in F_.items()], "unit_code string, base_unit string, factor_to_base double")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([f"{n} minutos" for n in range(20, 80)] + ["2 h", "1h30", "45", "50"])], "id long, t string")
+    read = U.amounts_and_numbers(rows, "t", ref, "duration")
+    stated = read.where("amount IS NOT NULL").select("subject", "unit", "base_unit", read.amount.alias("base_amount"))
+    got = {r.t: (r.unit, r.uncertain) for r in U.infer_units(read.where("number IS NOT NULL"), "subject", "number", stated, {k: (F_[k][0], float(F_[k][1])) for k in U.TIME}).collect()}
+    assert got == {"45": ("min", False), "50": ("min", False)}
