@@ -1,40 +1,49 @@
 """Most similar vectors for every vector, by shifted space-filling curves.
 
 An index is fitted on a bounded sample: principal directions of the (for sparse vectors, sign-projected)
-unit vectors, several random rotations of them, and a random shift and the quantiles of each rotated
-direction. A rotation, its shift and a Hilbert curve through the quantile cells order all vectors so that
-similar ones tend to be near each other. Every vector is placed on every curve. A curve is cut into key
-windows of about ``window`` vectors; Spark brings each window to one task, where block matrix products
-compare all its vectors and the best are reranked exactly in double precision. The lists of all curves
-are merged; two vectors a border parts on one curve meet on another, as shifts and rotations differ.
-
-Work and memory of a task are bounded by the window, and total work is linear in the collection.
-Collections of equal vectors larger than ``MANY_COPIES`` take part with one member only; the others'
-neighbours follow from it without a comparison.
+unit vectors, several random rotations of them, and for each a random shift, the quantiles of the rotated
+directions and a draw of landmarks. A Hilbert curve through the quantile cells orders the landmarks; a
+vector's key is the place of its nearest landmark, then its own place on the curve, so that themes stay
+together however thin their slice of the space is. Every vector is placed on every curve.
+
+A curve is range-partitioned into slots at quantiles of the sample's keys. In a slot the vectors stand in
+the order of their keys and windows slide along it: each block of vectors is compared by matrix products
+with the ``window`` vectors around it, so neighbouring windows merge and only the ends of slots part
+vectors, at other places on every other curve. The best are reranked exactly in double precision and the
+curves' lists merged.
+
+Work is linear in the collection: every vector meets ``window`` others on each curve, whatever the
+collection's size. Many vectors of one key (a third of all may point one way) are spread over the slots
+their key spans, so that slots stay bounded; collections of more than ``MANY_COPIES`` vectors of equal
+direction take part with one member only, and the others' neighbours follow from it without a comparison.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.session import Scratch
 
-#: Vectors the index is fitted on, about.
-SAMPLE = 16_000
-#: Equal vectors beyond which a class of copies is represented by its smallest member.
+#: Vectors the index is fitted on, about: one of ``RARE``, within these bounds.
+SAMPLE, MAX_SAMPLE, RARE = 16_000, 200_000, 500
+#: Vectors of equal direction beyond which a class of copies is represented by its smallest member.
 MANY_COPIES = 64
 #: Largest number of such classes that is broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
 BLOCK = 512
-#: Bounds of a window where none is given: a share of the collection, as neighbourhoods grow with it,
-#: but never more vectors than one task compares in seconds.
-MIN_WINDOW, MAX_WINDOW = 1024, 24_576
+#: Vectors a vector is compared with on a curve, half of them before and half after it.
+WINDOW = 4096
+#: Windows a slot holds, about.
+SPAN = 4
+#: One landmark stands for about so many vectors; bounds of their number.
+PER_LANDMARK, MIN_LANDMARKS, MAX_LANDMARKS = 160, 64, 4096
 #: Bits of a curve's cell coordinate.
 BITS = 6
 
@@ -112,31 +121,46 @@ class Sparse:
         return out / np.where(norm > 0, norm, 1)
 
     def dots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Exact dot products of the rows a[i], b[i]; ``a`` is sorted."""
+        """Exact dot products of the rows a[i], b[i]; ``a`` is sorted.
+
+        The rows of ``a`` are spread over their terms a few at a time, the entries of ``b`` looked up there:
+        what is held is bounded by the distinct terms and ``ENTRIES``, not by the longest row.
+        """
         out = np.zeros(len(a))
         if not len(a):
             return out
-        longest = int(np.diff(self.starts).max())
-        if not hasattr(self, "padded"):
-            n = len(self.starts) - 1
-            self.padded = np.full((n, longest), -1, dtype=np.int64)
-            self.padded_w = np.zeros((n, longest))
-            rows = np.repeat(np.arange(n), np.diff(self.starts))
-            cols = np.arange(len(self.terms)) - np.repeat(self.starts[:-1], np.diff(self.starts))
-            distinct, at = np.unique(self.terms, return_inverse=True)
-            self.padded[rows, cols] = at
-            self.padded_w[rows, cols] = self.weights
-            self.dense = np.zeros(len(distinct) + 1)  # the last place is for padding
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        for lo, hi in zip(first, np.r_[first[1:], len(a)]):
-            row = a[lo]
-            mine = self.padded[row]
-            mine = mine[mine >= 0]
-            self.dense[mine] = self.padded_w[row][: len(mine)]
-            out[lo:hi] = (self.dense[self.padded[b[lo:hi]]] * self.padded_w[b[lo:hi]]).sum(1)
-            self.dense[mine] = 0
+        if not hasattr(self, "at"):
+            distinct, self.at = np.unique(self.terms, return_inverse=True)
+            self.many = max(1, len(distinct))
+        lengths = np.diff(self.starts)
+        rows, place = np.unique(a, return_inverse=True)
+        together = max(1, self.ENTRIES // self.many)
+        ends = np.cumsum(lengths[b])
+        lo = 0
+        while lo < len(a):
+            # As many pairs as have few enough rows of a and entries of b, at least one.
+            hi = int(np.searchsorted(place, place[lo] + together, side="left"))
+            hi = max(lo + 1, min(hi, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + self.ENTRIES, side="right"))))
+            some = rows[place[lo] : place[hi - 1] + 1]
+            spread = np.zeros((len(some), self.many))
+            n = lengths[some]
+            mine = np.repeat(self.starts[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            spread[np.repeat(np.arange(len(some)), n), self.at[mine]] = self.weights[mine]
+            n = lengths[b[lo:hi]]
+            theirs = np.repeat(self.starts[b[lo:hi]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            pair = np.repeat(np.arange(hi - lo), n)
+            out[lo:hi] = np.bincount(pair, spread[(place[lo:hi] - place[lo])[pair], self.at[theirs]] * self.weights[theirs], minlength=hi - lo)
+            lo = hi
         return out
 
+    def take(self, order: np.ndarray) -> Sparse:
+        n = np.diff(self.starts)[order]
+        starts = np.r_[0, np.cumsum(n)]
+        entries = np.repeat(self.starts[order] - starts[:-1], n) + np.arange(n.sum())
+        return Sparse(self.ids[order], starts, self.terms[entries], self.weights[entries])
+
+    ENTRIES = 4_000_000
+
 
 @dataclass
 class Dense:
@@ -154,6 +178,9 @@ class Dense:
             out[lo : lo + 65536] = np.einsum("ij,ij->i", self.unit[a[lo : lo + 65536]], self.unit[b[lo : lo + 65536]])
         return out
 
+    def take(self, order: np.ndarray) -> Dense:
+        return Dense(self.ids[order], self.unit[order])
+
 
 def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(starts, flat values) of a list column without nulls."""
@@ -192,39 +219,54 @@ class Curves:
     directions: list[np.ndarray]
     grids: list[np.ndarray]
     shifts: list[np.ndarray]
+    landmarks: list[np.ndarray]
     borders: list[np.ndarray]
-    width: int
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+    def own(self, x: np.ndarray, curve: int) -> np.ndarray:
+        """Places of vectors on the Hilbert curve."""
         y = (x - self.centre) @ self.directions[curve]
         grid, shift = self.grids[curve], self.shifts[curve]
         rank = np.stack([np.searchsorted(grid[:, j], y[:, j]) for j in range(y.shape[1])], axis=1) / (len(grid) + 1)
         return hilbert(np.floor((rank + shift) / 2 * (1 << BITS)).astype(np.int64), BITS)
 
-    def windows(self, x: np.ndarray, curve: int) -> np.ndarray:
-        return np.searchsorted(self.borders[curve], self.keys(x, curve), side="right")
-
-
-def fit(sample: np.ndarray, total: int, window: int, curves: int, dims: int = 8, span: int = 20, seed: int = 7) -> Curves:
-    """Curves fitted on sampled vectors for a collection of ``total``: rotations of the leading directions, quantiles, borders."""
+    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+        """Keys of vectors: the nearest landmark's number along the curve, then the vector's own place."""
+        near = np.empty(len(x), dtype=np.int64)
+        for lo in range(0, len(x), 4096):
+            near[lo : lo + 4096] = (x[lo : lo + 4096] @ self.landmarks[curve].T).argmax(1)
+        return (near << 48) | self.own(x, curve)
+
+    def slots(self, keys: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
+        """Slots of keys; a key that several borders have in common is spread over its slots by the ids."""
+        low = np.searchsorted(self.borders[curve], keys, side="left")
+        high = np.searchsorted(self.borders[curve], keys, side="right")
+        for i in np.flatnonzero(high > low):
+            low[i] += zlib.crc32(str(ids[i]).encode()) % (high[i] - low[i] + 1)
+        return low
+
+
+def fit(sample: np.ndarray, total: int, slots: int, curves: int, dims: int = 8, span: int = 20, seed: int = 7) -> Curves:
+    """Curves fitted on sampled vectors for a collection of ``total``: rotations of the leading directions, quantiles, landmarks, borders."""
     rng = np.random.RandomState(seed)
     centre = sample.mean(0)
     _, vectors = np.linalg.eigh(np.cov((sample - centre).T)) if len(sample) > 1 else (None, np.eye(sample.shape[1]))
     span = min(span, sample.shape[1])
     dims = min(dims, span)
     lead = vectors[:, ::-1][:, :span]
-    out = Curves(centre.astype(np.float32), [], [], [], [], sample.shape[1])
-    count = max(1, round(total / window))
+    out = Curves(centre.astype(np.float32), [], [], [], [], [])
+    many = min(len(sample), max(MIN_LANDMARKS, min(MAX_LANDMARKS, total // PER_LANDMARK)))
     for c in range(curves):
         turn = np.linalg.qr(rng.normal(size=(span, span)))[0][:, :dims]
         out.directions.append((lead @ turn).astype(np.float32))
         y = (sample - centre) @ out.directions[c]
         out.grids.append(np.quantile(y, np.linspace(0, 1, 1025)[1:-1], axis=0).astype(np.float32))
         out.shifts.append(rng.uniform(0, 1, dims))
+        marks = sample[rng.choice(len(sample), many, replace=False)]
+        out.landmarks.append(marks[np.argsort(out.own(marks, c), kind="stable")].astype(np.float32))
         keys = np.sort(out.keys(sample, c))
         # Every other curve's borders lie between the first one's.
-        at = (np.arange(1, count) + (c % 2) * 0.5 - 0.25) / count
-        out.borders.append(keys[np.minimum(len(keys) - 1, (at * len(keys)).astype(int))] if count > 1 else np.array([], dtype=np.int64))
+        at = (np.arange(1, slots) + (c % 2) * 0.5 - 0.25) / slots
+        out.borders.append(keys[np.minimum(len(keys) - 1, (at * len(keys)).astype(int))] if slots > 1 else np.array([], dtype=np.int64))
     return out
 
 
@@ -239,25 +281,31 @@ def _passing(s: np.ndarray, peaks: np.ndarray, floor: np.ndarray, below: np.ndar
     return r[i], j * peaks.shape[1] + c[i]
 
 
-def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float, wide: int, rest: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour, similarity) of the ``k`` best neighbours at or above ``limit`` of each row.
+def band(n: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, first column, last column), ends exclusive, of blocks of rows and the columns their windows span together."""
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        yield lo, hi, max(0, lo - window // 2), min(n, hi + window // 2)
+
+
+def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float, wide: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, similarity) of the ``k`` best neighbours at or above ``limit`` of each row among the ``window`` rows around it.
 
     Block products give similarities with an error of about ``slack``. The largest ``wide`` of a row are
-    computed exactly, then (with ``rest``) all others that may still be among its ``k`` best: those within the slack of
-    the ``k``-th exact value, or of the limit where fewer reach it. Maxima of chunks of columns bound the
+    computed exactly, then all others that may still be among its ``k`` best: those within the slack of the ``k``-th exact value, or of the limit where fewer reach it. Maxima of chunks of columns bound the
     ``wide``-th largest from below, so no row is sorted.
     """
     n = len(x)
     rows, cols, sims = [], [], []
     chunk = 32
-    pad = -n % chunk
-    xt = np.concatenate([x, np.zeros((pad, x.shape[1]), dtype=np.float32)]).T.copy()
-    for lo in range(0, n, BLOCK):
-        s = x[lo : lo + BLOCK] @ xt
-        m = len(s)
-        s[np.arange(m), np.arange(lo, lo + m)] = -2
-        if pad:
-            s[:, n:] = -2
+    padded = np.concatenate([x, np.zeros((chunk, x.shape[1]), dtype=np.float32)])
+    for lo, hi, first, last in band(n, window):
+        last += -(last - first) % chunk  # whole chunks
+        s = x[lo:hi] @ padded[first : min(last, n + chunk)].T
+        m = hi - lo
+        s[np.arange(m), np.arange(lo - first, hi - first)] = -2
+        if last > n:
+            s[:, n - first :] = -2
         # A chunk is every (n / chunk)-th column, so that the maximum runs over whole rows of numbers.
         peaks = s.reshape(m, chunk, -1).max(1)
         if peaks.shape[1] > wide:
@@ -266,12 +314,11 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
             floor = np.full(m, -2.0)
         floor = np.maximum(floor, limit - slack).astype(np.float32)
         i, j = _passing(s, peaks, floor, None)
+        j += first
         sim = np.round(v.dots(i + lo, j), 9)
         rows.append(i + lo)
         cols.append(j)
         sims.append(sim)
-        if not rest:
-            continue
         # The k-th exact value so far decides what of the rest may still matter.
         order = np.lexsort((-sim, i))
         place = np.arange(len(i)) - np.searchsorted(i[order], np.arange(m))[i[order]]
@@ -279,6 +326,7 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
         kth = order[place == k - 1]
         last[i[kth]] = np.maximum(sim[kth], limit)
         r, c = _passing(s, peaks, np.minimum(floor, (last - slack).astype(np.float32)), floor)
+        c += first
         rows.append(r + lo)
         cols.append(c)
         sims.append(np.round(v.dots(r + lo, c), 9))
@@ -313,38 +361,56 @@ def _id_type(df: DataFrame) -> str:
     return dict(df.dtypes)["id"]
 
 
-def placed(vectors: DataFrame, total: int, window: int | None, curves: int, seed: int = 7, share: int = 10) -> DataFrame:
-    """``vectors`` (id and vec, or id, terms and weights) once per curve, with the number of its window as ``slot``; ``total`` is how many there are."""
+def placed(vectors: DataFrame, total: int, window: int, curves: int, seed: int = 7) -> DataFrame:
+    """``vectors`` (id and vec, or id, terms and weights) once per curve, with its ``key`` on it and the number of its ``slot``; ``total`` is how many there are."""
     spark = vectors.sparkSession
-    window = window or min(MAX_WINDOW, max(MIN_WINDOW, total // share))
-    rate = min(1.0, SAMPLE / max(1, total))
+    rate = min(1.0, min(MAX_SAMPLE, max(SAMPLE, total // RARE)) / max(1, total))
     sampled = vectors if rate >= 1 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
     sample = unpack(sampled.toArrow())
-    cast = spark.sparkContext.broadcast(fit(sample.project(SCREEN), total, window, curves, seed=seed)) if len(sample.ids) else None
-    count = max(1, round(total / window))
+    # A border needs several sampled keys on either side of it.
+    count = max(1, min(round(total / (SPAN * window)), len(sample.ids) // 16))
+    cast = spark.sparkContext.broadcast(fit(sample.project(SCREEN), total, count, curves, seed=seed)) if len(sample.ids) else None
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not len(table):
                 continue
-            x = unpack(table).project(SCREEN)
+            v = unpack(table)
+            x = v.project(SCREEN)
             for c in range(curves):
-                slot = cast.value.windows(x, c) + c * count
-                yield from table.append_column("slot", pa.array(slot.astype(np.int32))).to_batches()
+                keys = cast.value.keys(x, c)
+                slot = cast.value.slots(keys, v.ids, c) + c * count
+                yield from table.append_column("key", pa.array(keys)).append_column("slot", pa.array(slot.astype(np.int32))).to_batches()
 
     schema = ", ".join(f"{n} {t}" for n, t in vectors.dtypes)
-    return vectors.mapInArrow(place, f"{schema}, slot int")
+    return vectors.mapInArrow(place, f"{schema}, key long, slot int")
+
+
+def along(table: pa.Table) -> tuple[pa.Table, Dense | Sparse]:
+    """A slot's rows and vectors in the order of their keys, each id once."""
+    table = _unique(table)
+    ids = np.array(table.column("id").to_pylist(), dtype=object)
+    order = np.lexsort((ids.astype(str), table.column("key").to_numpy()))
+    table = table.take(pa.array(order))
+    return table, unpack(table)
+
+
+def direction(vectors: DataFrame) -> Column:
+    """A 64-bit hash of a vector's direction: its entries over its length, to six decimals, so that rounding to nine makes all of one hash alike."""
+    values = "vec" if "vec" in vectors.columns else "weights"
+    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform(values, lambda x: F.round(x.cast("double") / norm * 1e6).cast("long"))
+    return F.xxhash64(unit, *[c for c in vectors.columns if c == "terms"])
 
 
 def _without_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
-    """``vectors`` with one member of each class of more than ``MANY_COPIES`` equal ones, those classes, and the number of vectors.
+    """``vectors`` with one member of each class of more than ``MANY_COPIES`` of equal direction, those classes, and the number of vectors.
 
-    The classes are ``(rep, h)``, ``h`` the 64-bit hash of the vector (and of the number of its entries).
+    The classes are ``(rep, h)``, ``h`` the hash of ``direction``.
     One pass counts vectors and classes by hash; names are looked up only where such a class exists.
     """
-    content = [c for c in vectors.columns if c != "id"]
-    h = F.xxhash64(*content)
+    h = direction(vectors)
     per = vectors.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     large = F.col("n") > MANY_COPIES
     total, size = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(large.cast("int")), F.lit(0))).first()
@@ -359,7 +425,7 @@ def _without_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None, in
     return kept.select(*vectors.columns), many, total
 
 
-def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int | None = None, curves: int = 4, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int = WINDOW, curves: int = 4, seed: int = 7) -> DataFrame:
     """``(id, neighbour, similarity)``: up to ``k`` most similar other vectors of each, at or above ``limit``.
 
     ``vectors`` has a non-null ``id`` and ``vec`` (array of numbers) or ``terms`` and ``weights``
@@ -374,9 +440,8 @@ def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int
     kind = _id_type(vectors)
 
     def window_lists(table: pa.Table) -> pa.Table:
-        table = _unique(table)
-        v = unpack(table)
-        a, b, sim = _best(v, v.project(SCREEN), k, limit, slack, wide)
+        table, v = along(table)
+        a, b, sim = _best(v, v.project(SCREEN), k, limit, slack, wide, window)
         bounds = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], dtype=np.int64)
         offsets = pa.array(np.r_[bounds, len(a)].astype(np.int32))
         ids = table.column("id").combine_chunks()
@@ -400,8 +465,7 @@ def _with_copies(lists: DataFrame, vectors: DataFrame, many: DataFrame, k: int)
     """
     from pyspark.sql import Window
 
-    content = [c for c in vectors.columns if c != "id"]
-    members = vectors.select("id", F.xxhash64(*content).alias("h")).distinct().join(F.broadcast(many) if many.count() <= MAX_BROADCAST else many, "h")
+    members = vectors.select("id", direction(vectors).alias("h")).distinct().join(F.broadcast(many) if many.count() <= MAX_BROADCAST else many, "h")
     order = Window.partitionBy("h").orderBy("id")
     first = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).groupBy("h", "rep").agg(F.array_sort(F.collect_list("id")).alias("first"))
     first = Scratch(vectors.sparkSession).save(first)
