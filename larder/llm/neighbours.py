@@ -353,8 +353,10 @@ def _unique(table: pa.Table) -> pa.Table:
     return table.take(pa.array(list(seen.values())))
 
 
-#: Width of the sign projection of sparse vectors: 64 for the curves, more for screening.
-SCREEN = 128
+#: Widths of the sign projections of sparse vectors, for the curves and for screening, and how far screened
+#: similarities may be off: over two and a half standard errors at a similarity of 0.6, or rounding for dense ones.
+PLACE, SCREEN = 128, 512
+SLACK = {"sparse": 0.075, "dense": 1e-5}
 
 
 def _id_type(df: DataFrame) -> str:
@@ -369,7 +371,7 @@ def placed(vectors: DataFrame, total: int, window: int, curves: int, seed: int =
     sample = unpack(sampled.toArrow())
     # A border needs several sampled keys on either side of it.
     count = max(1, min(round(total / (SPAN * window)), len(sample.ids) // 16))
-    cast = spark.sparkContext.broadcast(fit(sample.project(SCREEN), total, count, curves, seed=seed)) if len(sample.ids) else None
+    cast = spark.sparkContext.broadcast(fit(sample.project(PLACE), total, count, curves, seed=seed)) if len(sample.ids) else None
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +379,7 @@ def placed(vectors: DataFrame, total: int, window: int, curves: int, seed: int =
             if not len(table):
                 continue
             v = unpack(table)
-            x = v.project(SCREEN)
+            x = v.project(PLACE)
             for c in range(curves):
                 keys = cast.value.keys(x, c)
                 slot = cast.value.slots(keys, v.ids, c) + c * count
@@ -436,7 +438,7 @@ def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int
     scratch = Scratch(vectors.sparkSession)
     own, many, total = _without_copies(vectors)
     sparse = "terms" in vectors.columns
-    wide, slack = (32, 0.15) if sparse else (k, 1e-5)
+    wide, slack = (2 * k, SLACK["sparse"]) if sparse else (k, SLACK["dense"])
     kind = _id_type(vectors)
 
     def window_lists(table: pa.Table) -> pa.Table:
