@@ -124,7 +124,7 @@ class Sparse:
         """Exact dot products of the rows a[i], b[i]; ``a`` is sorted.
 
         The rows of ``a`` are spread over their terms a few at a time, the entries of ``b`` looked up there:
-        what is held is bounded by the distinct terms and ``ENTRIES``, not by the longest row.
+        what is held is bounded by the distinct terms, ``SPREAD`` and ``ENTRIES``, not by the longest row.
         """
         out = np.zeros(len(a))
         if not len(a):
@@ -134,7 +134,7 @@ class Sparse:
             self.many = max(1, len(distinct))
         lengths = np.diff(self.starts)
         rows, place = np.unique(a, return_inverse=True)
-        together = max(1, self.ENTRIES // self.many)
+        together = max(1, self.SPREAD // self.many)
         ends = np.cumsum(lengths[b])
         lo = 0
         while lo < len(a):
@@ -159,7 +159,8 @@ class Sparse:
         entries = np.repeat(self.starts[order] - starts[:-1], n) + np.arange(n.sum())
         return Sparse(self.ids[order], starts, self.terms[entries], self.weights[entries])
 
-    ENTRIES = 4_000_000
+    #: Numbers held at once: few enough of the spread rows to stay near the processor, and entries looked up.
+    SPREAD, ENTRIES = 400_000, 4_000_000
 
 
 @dataclass
@@ -281,6 +282,20 @@ def _passing(s: np.ndarray, peaks: np.ndarray, floor: np.ndarray, below: np.ndar
     return r[i], j * peaks.shape[1] + c[i]
 
 
+#: Widths of the sign projections of sparse vectors, for the curves and for screening.
+PLACE, SCREEN = 128, 512
+
+
+def error(sparse: bool, width: int) -> float:
+    """How far screened similarities may be off, times 1 - similarity squared: for sparse vectors 2.65 standard errors, for dense ones rounding."""
+    return 2.65 / width**0.5 if sparse else 1e-5
+
+
+def slack(similarity: np.ndarray | float, off: float) -> np.ndarray | float:
+    """How much lower than ``similarity`` a pair of at least that may be screened, given ``error``."""
+    return off * (1 - similarity * similarity) + 2e-6
+
+
 def band(n: int, window: int) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row, first column, last column), ends exclusive, of blocks of rows and the columns their windows span together."""
     for lo in range(0, n, BLOCK):
@@ -288,10 +303,10 @@ def band(n: int, window: int) -> Iterator[tuple[int, int, int, int]]:
         yield lo, hi, max(0, lo - window // 2), min(n, hi + window // 2)
 
 
-def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float, wide: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, off: float, wide: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour, similarity) of the ``k`` best neighbours at or above ``limit`` of each row among the ``window`` rows around it.
 
-    Block products give similarities with an error of about ``slack``. The largest ``wide`` of a row are
+    Block products give similarities off by about ``slack`` of them. The largest ``wide`` of a row are
     computed exactly, then all others that may still be among its ``k`` best: those within the slack of the ``k``-th exact value, or of the limit where fewer reach it. Maxima of chunks of columns bound the
     ``wide``-th largest from below, so no row is sorted.
     """
@@ -312,7 +327,7 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
             floor = np.partition(peaks, peaks.shape[1] - wide, axis=1)[:, peaks.shape[1] - wide] - 2e-6
         else:
             floor = np.full(m, -2.0)
-        floor = np.maximum(floor, limit - slack).astype(np.float32)
+        floor = np.maximum(floor, limit - slack(limit, off)).astype(np.float32)
         i, j = _passing(s, peaks, floor, None)
         j += first
         sim = np.round(v.dots(i + lo, j), 9)
@@ -325,7 +340,7 @@ def _best(v: Dense | Sparse, x: np.ndarray, k: int, limit: float, slack: float,
         last = np.full(m, float(limit))
         kth = order[place == k - 1]
         last[i[kth]] = np.maximum(sim[kth], limit)
-        r, c = _passing(s, peaks, np.minimum(floor, (last - slack).astype(np.float32)), floor)
+        r, c = _passing(s, peaks, np.minimum(floor, (last - slack(last, off)).astype(np.float32)), floor)
         c += first
         rows.append(r + lo)
         cols.append(c)
@@ -353,12 +368,6 @@ def _unique(table: pa.Table) -> pa.Table:
     return table.take(pa.array(list(seen.values())))
 
 
-#: Widths of the sign projections of sparse vectors, for the curves and for screening, and how far screened
-#: similarities may be off: over two and a half standard errors at a similarity of 0.6, or rounding for dense ones.
-PLACE, SCREEN = 128, 512
-SLACK = {"sparse": 0.075, "dense": 1e-5}
-
-
 def _id_type(df: DataFrame) -> str:
     return dict(df.dtypes)["id"]
 
@@ -398,30 +407,46 @@ def along(table: pa.Table) -> tuple[pa.Table, Dense | Sparse]:
     return table, unpack(table)
 
 
+def _length(values: str) -> Column:
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
 def direction(vectors: DataFrame) -> Column:
     """A 64-bit hash of a vector's direction: its entries over its length, to six decimals, so that rounding to nine makes all of one hash alike."""
     values = "vec" if "vec" in vectors.columns else "weights"
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform(values, lambda x: F.round(x.cast("double") / norm * 1e6).cast("long"))
+    unit = F.transform(values, lambda x: F.floor(x.cast("double") / _length(values) * 1e6 + 0.5))
     return F.xxhash64(unit, *[c for c in vectors.columns if c == "terms"])
 
 
+def _bearing(vectors: DataFrame) -> Column:
+    """A coarse hash that vectors of one direction share (but for rounding at a bin's edge), at the cost of a few entries: the terms, or ratios of the first entries."""
+    if "terms" in vectors.columns:
+        return F.xxhash64("terms")
+    ratio = [F.try_divide(F.get("vec", F.lit(i)).cast("double"), F.get("vec", F.lit(i + 1)).cast("double")) for i in (0, 2, 4)]
+    return F.xxhash64(F.size("vec"), *[F.floor(F.log(F.abs(r)) * 1000) for r in ratio])
+
+
 def _without_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     """``vectors`` with one member of each class of more than ``MANY_COPIES`` of equal direction, those classes, and the number of vectors.
 
-    The classes are ``(rep, h)``, ``h`` the hash of ``direction``.
-    One pass counts vectors and classes by hash; names are looked up only where such a class exists.
+    The classes are ``(rep, h)``, ``h`` the hash of ``direction``. One pass counts vectors by a coarse hash;
+    directions are computed only of vectors whose coarse hash that many share, names looked up only where
+    such a class exists.
     """
-    h = direction(vectors)
-    per = vectors.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     large = F.col("n") > MANY_COPIES
-    total, size = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(large.cast("int")), F.lit(0))).first()
-    if not size:
+    rough = vectors.select(_bearing(vectors).alias("r")).groupBy("r").agg(F.count("*").alias("n"))
+    total, alike = rough.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(large.cast("int")), F.lit(0))).first()
+    if not alike:
         return vectors, None, total
     scratch = Scratch(vectors.sparkSession)
-    classes = per.where(large).select("h")
-    classes = F.broadcast(classes) if size <= MAX_BROADCAST else classes
-    many = scratch.save(vectors.select(h.alias("h"), "id").join(classes, "h").groupBy("h").agg(F.min("id").alias("rep")))
+    coarse = rough.where(large).select("r")
+    suspects = vectors.withColumn("r", _bearing(vectors)).join(F.broadcast(coarse) if alike <= MAX_BROADCAST else coarse, "r", "left_semi").drop("r")
+    suspects = scratch.save(suspects.select("id", direction(vectors).alias("h")))
+    many = scratch.save(suspects.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(large).select("h", "rep"))
+    size = many.count()
+    if not size:
+        return vectors, None, total
+    h = direction(vectors)
     known = F.broadcast(many) if size <= MAX_BROADCAST else many
     kept = vectors.withColumn("h", h).join(known, "h", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id")))
     return kept.select(*vectors.columns), many, total
@@ -438,12 +463,12 @@ def neighbours(vectors: DataFrame, k: int = 5, limit: float = -1.0, window: int
     scratch = Scratch(vectors.sparkSession)
     own, many, total = _without_copies(vectors)
     sparse = "terms" in vectors.columns
-    wide, slack = (2 * k, SLACK["sparse"]) if sparse else (k, SLACK["dense"])
+    wide = 2 * k if sparse else k
     kind = _id_type(vectors)
 
     def window_lists(table: pa.Table) -> pa.Table:
         table, v = along(table)
-        a, b, sim = _best(v, v.project(SCREEN), k, limit, slack, wide, window)
+        a, b, sim = _best(v, v.project(SCREEN), k, limit, error(sparse, SCREEN), wide, window)
         bounds = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], dtype=np.int64)
         offsets = pa.array(np.r_[bounds, len(a)].astype(np.int32))
         ids = table.column("id").combine_chunks()
