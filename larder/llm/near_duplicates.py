@@ -32,6 +32,8 @@ from larder.session import Scratch
 BITS = 4  # longs of 64 bits in a signature
 #: Largest number of tiles that is broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 200_000
+#: Records of a class that one block of its pairs has on a side.
+CLASS_BLOCK = 2000
 
 
 def word_sets(texts: DataFrame, record: str, text: str, min_words: int) -> DataFrame:
@@ -129,8 +131,12 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``(a, b)``, a < b: the pairs of records behind pairs of classes, and those within a class."""
     of = lambda end: members.select(F.col("record").alias(f"m_{end}"), F.col("class").alias(end))
     across = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
-    x, y = members.select(F.col("record").alias("a"), "class"), members.select(F.col("record").alias("b"), "class")
-    within = x.join(y, "class").where("a < b").select("a", "b")
+    # A class may hold a third of all records: its pairs are made in a grid of blocks, each row meeting one block at a time.
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / CLASS_BLOCK).cast("int").alias("grid"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = members.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("record"), F.col("grid").cast("long")).cast("int"))
+    x = placed.select("class", F.col("record").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("j"))
+    y = placed.select("class", F.col("record").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("i"))
+    within = x.join(y, ["class", "i", "j"]).where("a < b").select("a", "b")
     return across.unionByName(within)
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from larder.session import Scratch
 
-#: Hash buckets by which equal lengths are ranked.
-BUCKETS = 512
+#: Hash buckets by which equal lengths are ranked: at least so many, and enough for the rows a bucket holds of one length.
+BUCKETS, BUCKET_ROWS = 512, 50_000
 
 
 @dataclass(frozen=True)
@@ -104,11 +104,15 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
         raise ValueError("capacity must be positive")
     scratch = Scratch(items.sparkSession)
     pieces = split_items(items.where(F.col(item).isNotNull()), item, size, capacity)
-    pieces = scratch.save(pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "piece"), F.lit(BUCKETS)).cast("int")))
+    pieces = scratch.save(pieces)
+    # One length may have all rows: the buckets grow with them, so none has more than a task sorts.
+    buckets = max(BUCKETS, pieces.count() // BUCKET_ROWS)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "piece"), F.lit(buckets)).cast("int"))
     per = scratch.save(pieces.where("length > 0").groupBy("length", "bucket").agg(F.count("*").alias("n")))
     # At most `capacity` rows.
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     patterns = plan(histogram, capacity)
+    # At most a row per length and bucket.
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("length", "bucket").orderBy("item", "piece")

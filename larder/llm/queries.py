@@ -11,6 +11,8 @@ from larder.llm import clusters, distinctive, near_duplicates, neighbours, packi
 from larder.session import Scratch
 from larder.sources.tables import table
 
+#: Largest number of capacities, each of which is a plan of its own; more are an error.
+MAX_CAPACITIES = 1000
 FIELDS = ("rating_value", "description", "prep_time_raw", "difficulty", "cost_label", "servings")
 
 
@@ -91,7 +93,9 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     """The container of every document (piece) for every capacity."""
-    capacities = table(spark, root, "pack_capacities").select("capacity_id", "tokenizer", "capacity_tokens").limit(1000).collect()
+    capacities = table(spark, root, "pack_capacities").select("capacity_id", "tokenizer", "capacity_tokens").dropna().distinct().limit(MAX_CAPACITIES + 1).collect()
+    if len(capacities) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
     scratch = Scratch(spark)
     documents = table(spark, root, "documents").select("doc_id", "text")
     sized = {t: scratch.save(tokenization.token_counts(documents, "text", t).select("doc_id", "n_tokens")) for t in sorted({c.tokenizer for c in capacities})}

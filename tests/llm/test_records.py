@@ -87,3 +87,12 @@ def test_distinctive(spark):
     top = distinctive.leading_terms(distinctive.relevance(counts, records, "r", k1=None, plain_idf=True), 1).collect()
     assert {(r.record, r.term) for r in top} == {("a", "bolo"), ("b", "fuba")}
     assert distinctive.leading_terms(distinctive.relevance(counts.limit(0), records.limit(0), "r")).count() == 0
+
+
+def test_pairs_of_a_large_class(spark, monkeypatch):
+    """A class of equal sets larger than a block gives each of its pairs once."""
+    monkeypatch.setattr(nd, "CLASS_BLOCK", 7)
+    members = spark.createDataFrame([(f"{i:03d}", "000") for i in range(50)] + [("x", "x")], "record string, class string")
+    pairs = spark.createDataFrame([("000", "x")], "a string, b string")
+    got = [(r.a, r.b) for r in nd.expand_pairs(pairs, members).collect()]
+    assert len(got) == len(set(got)) == 50 * 49 // 2 + 50 and all(a < b for a, b in got)

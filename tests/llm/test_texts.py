@@ -160,3 +160,20 @@ def test_work_is_linear_in_the_text(part):
 
     seconds(100)
     assert seconds(16000) < 10 * seconds(4000) + 0.2
+
+
+def test_one_length_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 1)
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(i, 3) for i in range(200)], "doc long, n int")
+    got = [r.container for r in packing.pack(df, "doc", "n", 10).collect()]
+    assert sorted(got) == sorted([c for c in range(66) for _ in range(3)] + [66] * 2)
+
+
+def test_too_many_capacities(spark, tmp_path):
+    from larder.llm import queries
+
+    root = str(tmp_path)
+    spark.createDataFrame([(i, "byte_bpe_50k", i + 1) for i in range(queries.MAX_CAPACITIES + 1)], "capacity_id int, tokenizer string, capacity_tokens int").write.parquet(f"{root}/pack_capacities.parquet")
+    with pytest.raises(ValueError):
+        queries.p8_containers(spark, root)
