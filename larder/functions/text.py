@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 from larder import lexicons
 from larder.functions.words import fold, marks, unescape
 
+# Markup, URLs, and the elements whose text counts for nothing.
 _SPACES = re.compile(r"\s+")
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _URL = re.compile(r"https?://\S+|www\.\S+", re.I)
@@ -232,8 +233,9 @@ def category_name_of_url(url: Column, default: str = "Categoria") -> Column:
 
 
 def page_url(url: Column, page: Column) -> Column:
-    """The URL of a result page: page 1 is canonical, others carry ``page``."""
-    return F.when(page <= 1, canonical_url(url)).otherwise(F.concat(F.regexp_extract(url, "^([^?#]*)", 1), F.lit("?page="), page.cast("string")))
+    """The URL of a result page: page 1 is canonical, others carry ``page`` after the query's other parameters."""
+    others = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: (x != "") & ~x.rlike("^page(=|$)"))
+    return F.when(page <= 1, canonical_url(url)).otherwise(F.concat(F.regexp_extract(url, "^([^?#]*)", 1), F.lit("?"), F.concat_ws("&", others, F.concat(F.lit("page="), page.cast("string")))))
 
 
 def parse_localized_number(c: Column) -> Column:

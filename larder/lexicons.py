@@ -64,10 +64,10 @@ DIFFICULTIES = {"facil": "fácil", "medio": "médio", "media": "médio", "difici
 COSTS = {"custo baixo": "Custo baixo", "custo medio": "Custo médio", "custo alto": "Custo alto"}
 
 # The steps of text preparation and its version.
-PREPARATION_VERSION = "pln-aula-5-v2"
+PREPARATION_VERSION = "larder-preparation-2"
 PREPARATION_STEPS = (
     "html_entities_decoded", "html_residual_removed", "urls_removed", "spaces_normalized", "casefolded", "accents_removed",
     "punctuation_and_symbols_removed", "word_tokenized", "pt_stopwords_removed_with_negation_preserved",
     "light_portuguese_stemming", "heuristic_portuguese_lemmatization",
 )
-LINGUISTIC_VERSION = "pln-aula-9-domain-rules-v1"
+LINGUISTIC_VERSION = "larder-rules-1"

@@ -75,10 +75,14 @@ def labels_normalized(spark, root):
 
 
 def changed_cells(spark, root):
-    """Cells that cleaning changes, by column."""
+    """Cells that cleaning changes, by column of the recipes and by table of the others."""
     before = table(spark, root, "recipes")
-    columns = ["title", "prep_time_raw", "difficulty", "cost_label", "url"]
-    return catalogue.changed_cells(before, catalogue.normalized_recipes(before), "site_recipe_id", columns)
+    columns = ["title", "prep_time_raw", "difficulty", "cost_label", "url", "description", "origin_category"]
+    one = catalogue.changed_cells(before, catalogue.normalized_recipes(before), "site_recipe_id", columns)
+    for name, column in (("ingredients", "raw_text"), ("preparation_steps", "raw_text"), ("categories", "name"), ("category_listings", "listed_title")):
+        cleaned = F.nullif(T.clean_text(F.col(column)), F.lit(""))
+        one = one.crossJoin(F.broadcast(table(spark, root, name).agg(F.sum((~F.equal_null(F.col(column), cleaned)).cast("int")).alias(name))))  # one row
+    return one
 
 
 def display_cells(spark, root):
@@ -114,7 +118,7 @@ def best_rated_page(spark, root):
 
 def notebook_filter(spark, root):
     """Plain substring and equality filter, ordered by title."""
-    r = table(spark, root, "recipes").where(F.lower("title").contains("banana") & (F.col("difficulty") == "Fácil"))
+    r = table(spark, root, "recipes").where(F.lower("title").contains("bolo") & (F.col("difficulty") == "Fácil"))
     return r.orderBy(T.ascii_nocase(F.col("title"))).select(F.col("site_recipe_id").alias("recipe_id"), "title")
 
 
@@ -136,14 +140,24 @@ def title_collisions(spark, root):
     return catalogue.title_collisions(table(spark, root, "recipes"))
 
 
+def first_recipe(spark, root):
+    """The first recipe by title with its ordered lines."""
+    first = catalogue.first_recipe(table(spark, root, "recipes"), table(spark, root, "ingredients"), table(spark, root, "preparation_steps"))
+    return first.select("recipe_id", "title", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("preparation_steps", "|").alias("steps"))
+
+
 def coverage_summary(spark, root):
     """Counts and coverage of the catalogue, one row a metric."""
     recipes = table(spark, root, "recipes")
+    filled = lambda c: F.count(F.when(F.trim(c) != "", 1))
     one = recipes.agg(
-        F.count("*").alias("recipes"), F.count(F.when(F.trim("cost_label") != "", 1)).alias("with_cost"), F.count(F.when(F.trim("origin_category") != "", 1)).alias("with_origin"),
-        F.count("duplicate_of_recipe_id").alias("marked_duplicates"), F.countDistinct("difficulty").alias("difficulty_labels"))
+        F.count("*").alias("recipes"), filled("cost_label").alias("with_cost"), filled("origin_category").alias("with_origin"), filled("duplicate_of_recipe_id").alias("marked_duplicates"),
+        F.count("prep_time_minutes").alias("with_time"), F.count("rating_value").alias("with_rating"), F.countDistinct("difficulty").alias("difficulty_labels"))
     stacked = one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
+    ids = recipes.select(F.col("site_recipe_id").alias("recipe_id"))
     counts = [table(spark, root, t).agg(F.count("*").alias("value")).select(F.lit(t).alias("metric"), "value") for t in ("ingredients", "preparation_steps", "categories", "category_listings")]
+    counts += [table(spark, root, t).select("recipe_id").distinct().join(ids, "recipe_id", "left_semi").agg(F.count("*").alias("value")).select(F.lit(m).alias("metric"), "value")
+               for t, m in (("ingredients", "with_ingredients"), ("preparation_steps", "with_steps"))]
     for c in counts:
         stacked = stacked.unionByName(c)
     return stacked
@@ -222,5 +236,5 @@ def events_hourly(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     p4_found, p4_inferred, url_canonical, category_urls, parse_minutes, parse_numbers, labels_normalized, changed_cells, display_cells, search_filter, search_label,
-    exists_or_exists, facet_values, best_rated_page, notebook_filter, recipe_details, difficulty_distribution, category_distribution, title_collisions,
+    exists_or_exists, facet_values, best_rated_page, notebook_filter, first_recipe, recipe_details, difficulty_distribution, category_distribution, title_collisions,
     coverage_summary, latest_run, run_counters, listing_upsert, listings_by_id_or_url, category_upsert, origin_relations, missing_recipes, markup_links, parsed_pages, events_hourly)}

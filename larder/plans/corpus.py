@@ -24,9 +24,9 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
     return Scratch(spark).save(corpus.tokenized(table(spark, root, "documents"), "doc_id", "text"))
 
 
-def _titles(spark: SparkSession, root: str) -> DataFrame:
-    """Content tokens of the recipes' titles."""
-    return Scratch(spark).save(corpus.tokenized(table(spark, root, "recipes"), "site_recipe_id", "title"))
+def _recipes(spark: SparkSession, root: str) -> DataFrame:
+    """Lemmas of all texts of every recipe that is no exact duplicate, written once where several branches read them."""
+    return Scratch(spark).save(corpus.documents(_units(spark, root), table(spark, root, "recipes")).select(F.col("recipe_id").alias("key"), "tokens"))
 
 
 def _words(spark: SparkSession, root: str, name: str, key: str, text: str) -> DataFrame:
@@ -35,8 +35,8 @@ def _words(spark: SparkSession, root: str, name: str, key: str, text: str) -> Da
 
 
 def text_clean(spark, root):
-    """Entities decoded and white space collapsed in recipe descriptions."""
-    return table(spark, root, "recipes").select(F.col("site_recipe_id").alias("recipe_id"), T.clean_text(F.col("description")).alias("clean"))
+    """Entities decoded and white space collapsed in every text of the recipes."""
+    return _units(spark, root).select("recipe_id", "field_name", "position", T.clean_text(F.col("raw_text")).alias("clean"))
 
 
 def text_words(spark, root):
@@ -52,22 +52,23 @@ def stopword_filter(spark, root):
 
 
 def stem_lemma(spark, root):
-    """Stems and lemmas of every distinct content word of the ingredient lines."""
-    rows = table(spark, root, "ingredients").select(T.normalize_lexical(F.col("raw_text")).alias("n"))
+    """Stems and lemmas of every distinct content word of the recipes."""
+    rows = _units(spark, root).select(T.normalize_lexical(F.col("raw_text")).alias("n"))
     words = rows.select(F.explode(T.content_tokens(T.tokens(F.col("n")))).alias("word")).distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"), T.lemma(F.col("word")).alias("lemma"))
 
 
 def prepare_keys(spark, root):
-    """Keys of equal and of nearly equal content of recipe titles."""
-    ready = corpus.prepare(table(spark, root, "recipes").select("site_recipe_id", "title"), "title")
-    return ready.select(F.col("site_recipe_id").alias("recipe_id"), F.col("prepared.near_duplicate_key").alias("near_duplicate_key"), F.size("prepared.lemma_tokens").alias("n_lemmas"), F.col("prepared.pipeline_version").alias("version"))
+    """Keys of equal and of nearly equal content, and the sizes of the prepared forms, of every text of the recipes."""
+    ready = corpus.prepare(_units(spark, root), "raw_text").select("recipe_id", "field_name", "position", "prepared.*")
+    counts = [F.size(c).alias(f"n_{c}") for c in ("tokens", "content_tokens", "stemmed_tokens", "lemma_tokens")]
+    return ready.select("recipe_id", "field_name", "position", "duplicate_key", "near_duplicate_key", *counts, F.col("pipeline_version").alias("version"))
 
 
 def search_index(spark, root):
-    """The distinct search words of every title, sorted."""
-    ready = corpus.prepare(table(spark, root, "recipes").select("site_recipe_id", "title"), "title")
-    return ready.select(F.col("site_recipe_id").alias("recipe_id"), F.array_join(F.array_sort(F.split(T.search_index_text(F.col("prepared")), " ")), " ").alias("words"))
+    """The distinct search words of every text of the recipes, sorted."""
+    ready = corpus.prepare(_units(spark, root), "raw_text")
+    return ready.select("recipe_id", "field_name", "position", F.array_join(F.array_sort(F.split(T.search_index_text(F.col("prepared")), " ")), " ").alias("words"))
 
 
 def search_texts(spark, root):
@@ -121,13 +122,12 @@ def top_tokens(spark, root):
 
 def recipe_tfidf_top_terms(spark, root):
     """Leading terms of every recipe that is no exact duplicate, over all its text units."""
-    docs = Scratch(spark).save(corpus.documents(_units(spark, root), table(spark, root, "recipes")))
-    return terms.top_terms(terms.weights(docs, "recipe_id")).select(F.col("key").alias("recipe_id"), "term", "tf", F.round("tfidf", 6).alias("tfidf"), "rank")
+    return terms.top_terms(terms.weights(_recipes(spark, root))).select(F.col("key").alias("recipe_id"), "term", "tf", F.round("tfidf", 6).alias("tfidf"), "rank")
 
 
 def cosine_knn_sparse(spark, root):
-    """Exact TF-IDF neighbours of every fiftieth recipe title among all titles."""
-    docs = _titles(spark, root)
+    """Exact TF-IDF neighbours of every fiftieth recipe among all recipes."""
+    docs = _recipes(spark, root)
     unit = Scratch(spark).save(terms.normalized(terms.weights(docs)))
     queries = docs.where(F.pmod(F.col("key").cast("long"), F.lit(50)) == 0)
     return terms.sparse_neighbours(unit, queries, docs).select(F.col("query").alias("recipe_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "rank")
@@ -141,25 +141,25 @@ def cosine_knn_dense(spark, root):
 
 
 def cooccurrence(spark, root):
-    """Weighted co-occurrence of content words within two positions in titles."""
-    return embedding.cooccurrence(_titles(spark, root), WINDOW)
+    """Weighted co-occurrence of content words within two positions in the recipes."""
+    return embedding.cooccurrence(_recipes(spark, root), WINDOW)
 
 
 def ppmi(spark, root):
-    pairs = Scratch(spark).save(embedding.cooccurrence(_titles(spark, root), WINDOW))
+    pairs = Scratch(spark).save(embedding.cooccurrence(_recipes(spark, root), WINDOW))
     return embedding.ppmi(pairs).select("term", "context", F.round("ppmi", 6).alias("ppmi"))
 
 
 def top_contexts(spark, root):
-    """The eight strongest contexts of every word of the titles."""
-    pairs = Scratch(spark).save(embedding.cooccurrence(_titles(spark, root), WINDOW))
+    """The eight strongest contexts of every word of the recipes."""
+    pairs = Scratch(spark).save(embedding.cooccurrence(_recipes(spark, root), WINDOW))
     return embedding.top_contexts(embedding.ppmi(pairs)).select("term", "context", F.round("ppmi", 6).alias("ppmi"), "rank")
 
 
 def hash_signs(spark, root):
-    """Pseudo-random signs of every word of the titles in the first eight dimensions."""
-    words = _titles(spark, root).select(F.explode("tokens").alias("term")).distinct()
-    return words.select("term", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("term", "i", embedding.sign(F.col("term"), F.col("i")).alias("sign"))
+    """Pseudo-random signs of every word of the recipes in all dimensions."""
+    words = _recipes(spark, root).select(F.explode("tokens").alias("term")).distinct()
+    return words.select("term", F.explode(F.sequence(F.lit(0), F.lit(DIMENSION - 1))).alias("i")).select("term", "i", embedding.sign(F.col("term"), F.col("i")).alias("sign"))
 
 
 def _word_vectors(spark, root, docs):
@@ -169,38 +169,38 @@ def _word_vectors(spark, root, docs):
 
 
 def word_vectors(spark, root):
-    """Projected context vectors of the words of the titles: first coordinate and length."""
-    return _word_vectors(spark, root, _titles(spark, root)).select("term", F.round(F.col("vec")[0], 5).alias("v0"), F.round(F.col("vec")[31], 5).alias("v31"))
+    """Projected context vectors of the words of the recipes, a row per coordinate."""
+    return _word_vectors(spark, root, _recipes(spark, root)).select("term", F.posexplode("vec").alias("i", "v")).select("term", "i", (F.round("v", 5) + 0.0).alias("v"))
 
 
 def document_embeddings(spark, root):
-    """Mean word vectors of the titles."""
-    docs = _titles(spark, root)
+    """Mean word vectors of the recipes, a row per coordinate."""
+    docs = _recipes(spark, root)
     got = embedding.document_vectors(docs, _word_vectors(spark, root, docs), DIMENSION)
-    return got.select(F.col("key").alias("recipe_id"), F.round(F.col("vec")[0], 5).alias("v0"), F.round(embedding.dot(F.col("vec"), F.col("vec")), 5).alias("length2"))
+    return got.select(F.col("key").alias("recipe_id"), F.posexplode("vec").alias("i", "v")).select("recipe_id", "i", (F.round("v", 5) + 0.0).alias("v"))
 
 
 def semantic_search(spark, root):
-    """The ten titles most similar to a query text."""
-    docs = _titles(spark, root)
+    """The ten recipes most similar to a query text."""
+    docs = _recipes(spark, root)
     vectors = _word_vectors(spark, root, docs)
     hits = embedding.semantic_search(SEARCH, embedding.document_vectors(docs, vectors, DIMENSION), vectors, DIMENSION, 10)
     return hits.select(F.col("key").alias("recipe_id"), "cosine")
 
 
 def contextual_vectors(spark, root):
-    """Vectors of every occurrence of a word in the titles."""
-    docs = _titles(spark, root)
+    """Vectors of every occurrence of a word in the recipes: first and last coordinate."""
+    docs = _recipes(spark, root)
     got = embedding.contextual(docs, _word_vectors(spark, root, docs), DIMENSION, WINDOW)
-    return got.select(F.col("key").alias("recipe_id"), "pos", "term", F.round(F.col("vec")[0], 4).alias("v0"))
+    return got.select(F.col("key").alias("recipe_id"), "pos", "term", *[(F.round(F.col("vec")[i], 4) + 0.0).alias(f"v{i}") for i in (0, DIMENSION - 1)])
 
 
 def _labeled(spark, root):
-    """Titles with their normalised difficulty."""
-    rows = table(spark, root, "recipes").select(F.col("site_recipe_id").alias("key"), T.normalize_text(F.col("difficulty")).alias("d"), T.normalize_lexical(F.col("title")).alias("n"))
+    """The recipes with their normalised difficulty."""
+    rows = table(spark, root, "recipes").select(F.col("site_recipe_id").alias("key"), T.normalize_text(F.col("difficulty")).alias("d"))
     label = F.element_at(T.literal_map(lexicons.DIFFICULTIES), F.col("d"))
-    known = rows.where(F.col("d").isin(*lexicons.DIFFICULTIES))
-    return Scratch(spark).save(classify.stratified_split(known.select("key", label.alias("label"), T.content_tokens(T.tokens(F.col("n"))).alias("tokens"))))
+    known = rows.where(F.col("d").isin(*lexicons.DIFFICULTIES)).select("key", label.alias("label"))
+    return Scratch(spark).save(classify.stratified_split(_recipes(spark, root).join(known, "key").select("key", "label", "tokens")))
 
 
 def stratified_split(spark, root):
@@ -225,7 +225,7 @@ def _predicted(spark, root):
 
 
 def nb_predict(spark, root):
-    """Predicted difficulty of the test titles."""
+    """Predicted difficulty of the test recipes."""
     return _predicted(spark, root).select(F.col("key").alias("recipe_id"), "actual", "predicted", F.round("confidence", 4).alias("confidence"))
 
 
@@ -287,9 +287,8 @@ def entities_regex(spark, root):
 
 
 def entities(spark, root):
-    """Entities with offsets of every ingredient line and preparation step."""
-    units = corpus.lines(table(spark, root, "ingredients"), "ingredient").unionByName(_steps(spark, root))
-    return linguistics.entities(units)
+    """Entities with offsets of every text of the recipes."""
+    return linguistics.entities(_units(spark, root))
 
 
 def relations(spark, root):
@@ -324,16 +323,16 @@ def silhouette(spark, root):
 
 
 def lloyd_step(spark, root):
-    """One round of k-means from the labels' means: sizes and first coordinates."""
+    """One round of k-means from the labels' means: sizes and coordinates."""
     pts = Scratch(spark).save(_points(spark, root))
     start = geometry._centres(pts, "label", 64)
     got = geometry.lloyd_step(pts, start, 64)
-    return got.select("label", "size", F.round(F.col("centre")[0], 6).alias("c0"))
+    return got.select("label", "size", F.posexplode("centre").alias("i", "c")).select("label", "size", "i", (F.round("c", 6) + 0.0).alias("c"))
 
 
 def kmeans(spark, root):
     """k-means with four clusters: sizes."""
-    labels, _ = geometry.kmeans(_points(spark, root), 4, 64, restarts=2, rounds=10)
+    labels, _ = geometry.kmeans(_points(spark, root), 4, 64, restarts=6, rounds=50)
     return labels.groupBy("label").agg(F.count("*").alias("size"))
 
 

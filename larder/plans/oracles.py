@@ -75,11 +75,17 @@ def nocase(x: str) -> str:
 
 
 DOCS = f"docs AS (SELECT doc_id AS key, {content(words('text'))} AS tokens FROM documents)"
-TITLES = f"docs AS (SELECT site_recipe_id AS key, {content(words('title'))} AS tokens FROM recipes)"
+_CHILD = "SELECT DISTINCT recipe_id, '{0}', line_position, raw_text FROM {1} WHERE raw_text IS NOT NULL AND recipe_id IS NOT NULL"
+UNITS = f"""units AS (SELECT site_recipe_id AS r, 'title' AS f, 0 AS p, title AS t FROM recipes WHERE title IS NOT NULL UNION ALL SELECT site_recipe_id, 'description', 0, description FROM recipes WHERE description <> ''
+  UNION ALL {_CHILD.format('ingredient', 'ingredients')} UNION ALL {_CHILD.format('preparation_step', 'preparation_steps')})"""
+UNIT_WORDS = f"{UNITS}, uw AS (SELECT r, f, p, {words('t')} AS w FROM units), uc AS (SELECT *, {content('w')} AS c FROM uw)"
+RECIPES = f"""{UNIT_WORDS}, ul AS (SELECT r, f, p, unnest(range(len(c))) AS i, unnest(c) AS t FROM uc), un AS (SELECT r, f, p, {lemma('t')} AS l, min(i) AS i FROM ul GROUP BY ALL),
+  lists AS (SELECT r, list(l ORDER BY f, p, i) AS tokens FROM un WHERE l <> '' GROUP BY r),
+  docs AS (SELECT site_recipe_id AS key, coalesce(tokens, []) AS tokens FROM recipes LEFT JOIN lists ON r = site_recipe_id WHERE trim(coalesce(duplicate_of_recipe_id, '')) = '')"""
 TF = "tf AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(tokens) AS term FROM docs) GROUP BY ALL)"
 WEIGHTS = f"""{TF}, n AS (SELECT count(*) AS n FROM docs), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   w AS (SELECT key, term, tf, ln(n.n * 1.0 / df.df) AS idf, tf * ln(n.n * 1.0 / df.df) AS tfidf FROM tf JOIN df USING (term), n)"""
-PAIRS = f"""{TITLES}, pos AS (SELECT key, unnest(range(1, len(tokens) + 1)) AS i, tokens FROM docs), tok_at AS (SELECT key, i, tokens[i] AS term FROM pos),
+PAIRS = f"""{RECIPES}, pos AS (SELECT key, unnest(range(1, len(tokens) + 1)) AS i, tokens FROM docs), tok_at AS (SELECT key, i, tokens[i] AS term FROM pos),
   pairs AS (SELECT a.term, b.term AS context, sum(1.0::DOUBLE / abs(a.i - b.i)) AS weight FROM tok_at a JOIN tok_at b ON a.key = b.key AND a.i <> b.i AND abs(a.i - b.i) <= 2 GROUP BY ALL)"""
 PPMI = f"""{PAIRS}, r AS (SELECT term, sum(weight) AS r FROM pairs GROUP BY term), k AS (SELECT context, sum(weight) AS k FROM pairs GROUP BY context), t AS (SELECT sum(weight) AS t FROM pairs),
   ppmi AS (SELECT term, context, ln(weight * t / (r * k)) AS ppmi FROM pairs JOIN r USING (term) JOIN k USING (context), t WHERE ln(weight * t / (r * k)) > 0)"""
@@ -96,7 +102,7 @@ VECTORS = f"""{PPMI}, ctx AS (SELECT DISTINCT context FROM ppmi), dims AS (SELEC
 DOCVEC = f"""{VECTORS}, mean AS (SELECT a.key, vec.i, avg(vec.v) AS m FROM tok_at a JOIN vec ON vec.term = a.term GROUP BY ALL),
   dv AS (SELECT key, i, m / nullif(sqrt(sum(m * m) OVER (PARTITION BY key)), 0) AS v FROM mean)"""
 
-LABELED = f"""lab AS (SELECT site_recipe_id AS key, {case_map(folded(clean('difficulty')), L.DIFFICULTIES)} AS label, {content(words('title'))} AS tokens FROM recipes),
+LABELED = f"""{RECIPES}, lab AS (SELECT key, {case_map(folded(clean('difficulty')), L.DIFFICULTIES)} AS label, tokens FROM docs JOIN recipes ON site_recipe_id = key),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(label || ':' || key), key) AS rank, count(*) OVER (PARTITION BY label) AS n FROM lab WHERE label IS NOT NULL),
   split AS (SELECT key, label, tokens, CASE WHEN n >= 2 AND rank <= least(n - 1, greatest(1, round_even(n * 0.25::DOUBLE, 0)::BIGINT)) THEN 'test' ELSE 'train' END AS split FROM ranked),
   train AS (SELECT * FROM split WHERE split = 'train'),
@@ -148,14 +154,13 @@ def label(x: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "text_clean": f"SELECT site_recipe_id AS recipe_id, {clean('description')} AS clean FROM recipes",
+    "text_clean": f"WITH {UNITS} SELECT r AS recipe_id, f AS field_name, p AS position, {clean('t')} AS clean FROM units",
     "text_words": f"WITH w AS (SELECT doc_id, {words('text')} AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS words, len(w)::INT AS n_words FROM w",
     "stopword_filter": f"WITH {STEPS.replace('WHERE raw_text IS NOT NULL AND recipe_id IS NOT NULL', '')} SELECT recipe_id, position AS line_position, array_to_string({content(words('raw_text'))}, ' ') AS content FROM steps",
-    "stem_lemma": f"WITH d AS (SELECT DISTINCT unnest({content(words('raw_text'))}) AS word FROM ingredients) SELECT word, {stem('word')} AS stem, {lemma('word')} AS lemma FROM d",
-    "prepare_keys": f"""WITH {TITLES}, l AS (SELECT key, len(list_distinct(list_transform(tokens, lambda t: {lemma('t')}))) AS n FROM docs)
-      SELECT key AS recipe_id, sha256(array_to_string(list_sort(list_distinct(tokens)), ' ')) AS near_duplicate_key, n::INT AS n_lemmas, 'pln-aula-5-v2' AS version FROM docs JOIN l USING (key)""",
-    "search_index": f"""WITH w AS (SELECT site_recipe_id AS recipe_id, {words('title')} AS w FROM recipes), c AS (SELECT *, {content('w')} AS c FROM w)
-      SELECT recipe_id, array_to_string(list_sort(list_distinct(list_concat(w, list_transform(c, lambda t: {stem('t')}), list_transform(c, lambda t: {lemma('t')})))), ' ') AS words FROM c""",
+    "stem_lemma": f"WITH {UNIT_WORDS}, d AS (SELECT DISTINCT unnest(c) AS word FROM uc) SELECT word, {stem('word')} AS stem, {lemma('word')} AS lemma FROM d",
+    "prepare_keys": f"""WITH {UNIT_WORDS} SELECT r AS recipe_id, f AS field_name, p AS position, sha256(array_to_string(w, ' ')) AS duplicate_key, sha256(array_to_string(list_sort(list_distinct(c)), ' ')) AS near_duplicate_key, len(w)::INT AS n_tokens, len(c)::INT AS n_content_tokens,
+      len(list_distinct(list_filter(list_transform(c, lambda t: {stem('t')}), lambda t: t <> '')))::INT AS n_stemmed_tokens, len(list_distinct(list_filter(list_transform(c, lambda t: {lemma('t')}), lambda t: t <> '')))::INT AS n_lemma_tokens, {_text(L.PREPARATION_VERSION)} AS version FROM uc""",
+    "search_index": f"""WITH {UNIT_WORDS} SELECT r AS recipe_id, f AS field_name, p AS position, array_to_string(list_sort(list_distinct(list_concat(w, list_transform(c, lambda t: {stem('t')}), list_transform(c, lambda t: {lemma('t')})))), ' ') AS words FROM uc""",
     "search_texts": f"""WITH t AS (SELECT site_recipe_id AS r, title AS t FROM recipes UNION ALL SELECT site_recipe_id, description FROM recipes UNION ALL SELECT site_recipe_id, origin_category FROM recipes
       UNION ALL SELECT recipe_id, raw_text FROM ingredients UNION ALL SELECT recipe_id, raw_text FROM preparation_steps), w AS (SELECT DISTINCT r, unnest({words('t')}) AS w FROM t),
       a AS (SELECT r, w FROM w UNION SELECT r, {stem('w')} FROM w WHERE w NOT IN {in_list(L.STOPWORDS)} UNION SELECT r, {lemma('w')} FROM w WHERE w NOT IN {in_list(L.STOPWORDS)})
@@ -167,7 +172,11 @@ SQL: dict[str, str] = {
     "tfidf_top_terms": f"WITH {DOCS}, {WEIGHTS} SELECT key AS doc_id, term, tf, round(tfidf, 6) AS tfidf, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(tfidf, 9) DESC, tf DESC, term) AS rank FROM w) WHERE rank <= 8",
     "doc_norms": f"WITH {DOCS}, {WEIGHTS} SELECT key AS doc_id, round(sqrt(sum(tfidf * tfidf)), 6) AS norm FROM w GROUP BY key",
     "top_tokens": f"WITH {DOCS}, {TF} SELECT key AS doc_id, term, tf, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tf DESC, term) AS rank FROM tf) WHERE rank <= 8",
-    "cosine_knn_sparse": f"""WITH {TITLES}, {WEIGHTS}, u AS (SELECT key, term, CASE WHEN sqrt(sum(tfidf * tfidf) OVER (PARTITION BY key)) > 0 THEN tfidf / sqrt(sum(tfidf * tfidf) OVER (PARTITION BY key)) ELSE 0 END AS w FROM w),
+    "recipe_tfidf_top_terms": f"WITH {RECIPES}, {WEIGHTS} SELECT key AS recipe_id, term, tf, round(tfidf, 6) AS tfidf, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(tfidf, 9) DESC, tf DESC, term) AS rank FROM w) WHERE rank <= 8",
+    "exact_dup_groups": f"""WITH {UNIT_WORDS}, n AS (SELECT r, f, p, array_to_string(w, ' ') AS n FROM uw), g AS (SELECT r, coalesce(string_agg(n, ' ' ORDER BY f, p, n) FILTER (WHERE f IN ('ingredient', 'preparation_step')), '') AS lists,
+      coalesce(max(n) FILTER (WHERE f = 'description'), '') AS about, coalesce(max(n) FILTER (WHERE f = 'title'), '') AS title FROM n GROUP BY r), k AS (SELECT r, title || ' ' || CASE WHEN lists <> '' THEN lists ELSE about END AS k FROM g WHERE lists <> '' OR about <> ''),
+      c AS (SELECT k, arg_min(r, (NOT regexp_full_match(r, '[0-9]+'), try_cast(r AS BIGINT), r)) AS canonical FROM k GROUP BY k HAVING count(*) > 1) SELECT r AS recipe_id, canonical, 1.0::DOUBLE AS similarity FROM k JOIN c USING (k) WHERE r <> canonical""",
+    "cosine_knn_sparse": f"""WITH {RECIPES}, {WEIGHTS}, u AS (SELECT key, term, CASE WHEN sqrt(sum(tfidf * tfidf) OVER (PARTITION BY key)) > 0 THEN tfidf / sqrt(sum(tfidf * tfidf) OVER (PARTITION BY key)) ELSE 0 END AS w FROM w),
       q AS (SELECT key FROM docs WHERE key::BIGINT % 50 = 0), dots AS (SELECT a.key AS q, b.key AS n, sum(a.w * b.w) AS c FROM u a JOIN u b USING (term) WHERE a.key IN (SELECT key FROM q) GROUP BY ALL),
       every AS (SELECT q.key AS q, d.key AS n, round(coalesce(c, 0), 6) AS cosine FROM q CROSS JOIN docs d LEFT JOIN dots ON dots.q = q.key AND dots.n = d.key WHERE q.key <> d.key)
       SELECT q AS recipe_id, n AS neighbour_id, cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, n) AS rank FROM every) WHERE rank <= 5""",
@@ -176,9 +185,14 @@ SQL: dict[str, str] = {
     "cooccurrence": f"WITH {PAIRS} SELECT term, context, weight FROM pairs",
     "ppmi": f"WITH {PPMI} SELECT term, context, round(ppmi, 6) AS ppmi FROM ppmi",
     "top_contexts": f"WITH {PPMI} SELECT term, context, round(ppmi, 6) AS ppmi, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(ppmi, 9) DESC, context) AS rank FROM ppmi) WHERE rank <= 8",
-    "hash_signs": f"WITH {TITLES}, t AS (SELECT DISTINCT unnest(tokens) AS term FROM docs), i AS (SELECT unnest(range(8))::INT AS i) SELECT term, i, {sign('term', 'i')} AS sign FROM t, i",
-    "word_vectors": f"WITH {VECTORS} SELECT term, round(max(v) FILTER (WHERE i = 0), 5) AS v0, round(max(v) FILTER (WHERE i = 31), 5) AS v31 FROM vec GROUP BY term",
-    "document_embeddings": f"WITH {DOCVEC} SELECT d.key AS recipe_id, round(coalesce(max(v) FILTER (WHERE i = 0), 0), 5) AS v0, round(coalesce(sum(v * v), 0), 5) AS length2 FROM docs d LEFT JOIN dv USING (key) GROUP BY d.key",
+    "hash_signs": f"WITH {RECIPES}, t AS (SELECT DISTINCT unnest(tokens) AS term FROM docs), i AS (SELECT unnest(range(32))::INT AS i) SELECT term, i, {sign('term', 'i')} AS sign FROM t, i",
+    "word_vectors": f"WITH {VECTORS} SELECT term, i::INT AS i, round(v, 5) + 0.0::DOUBLE AS v FROM vec",
+    "document_embeddings": f"WITH {DOCVEC} SELECT d.key AS recipe_id, dims.i::INT AS i, round(coalesce(v, 0), 5) + 0.0::DOUBLE AS v FROM docs d CROSS JOIN dims LEFT JOIN dv ON dv.key = d.key AND dv.i = dims.i",
+    "contextual_vectors": f"""WITH {VECTORS}, nb AS (SELECT a.key, a.i AS pos, v.i, avg(v.v) AS m FROM tok_at a JOIN tok_at b ON a.key = b.key AND a.i <> b.i AND abs(a.i - b.i) <= 2 JOIN vec v ON v.term = b.term GROUP BY ALL),
+      nu AS (SELECT key, pos, i, m / nullif(sqrt(sum(m * m) OVER (PARTITION BY key, pos)), 0) AS m FROM nb), mix AS (SELECT a.key, a.i AS pos, a.term, d.i, 0.5::DOUBLE * coalesce(v.v, 0) + 0.5::DOUBLE * coalesce(nu.m, 0) AS x
+      FROM tok_at a CROSS JOIN dims d LEFT JOIN vec v ON v.term = a.term AND v.i = d.i LEFT JOIN nu ON nu.key = a.key AND nu.pos = a.i AND nu.i = d.i),
+      o AS (SELECT key, pos, any_value(term) AS term, max(x) FILTER (WHERE i = 0) AS a, max(x) FILTER (WHERE i = 31) AS b, sqrt(sum(x * x)) AS n FROM mix GROUP BY key, pos)
+      SELECT key AS recipe_id, (pos - 1)::INT AS pos, term, round(coalesce(a / nullif(n, 0), 0), 4) + 0.0::DOUBLE AS v0, round(coalesce(b / nullif(n, 0), 0), 4) + 0.0::DOUBLE AS v31 FROM o""",
     "semantic_search": f"""WITH {DOCVEC}, q AS (SELECT i, avg(v) AS v FROM vec WHERE term IN ('sobremesa', 'chocolate', 'banana') GROUP BY i), qn AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM q)
       SELECT d.key AS recipe_id, round(coalesce(sum(dv.v * qn.v), 0), 6) AS cosine FROM docs d LEFT JOIN dv ON dv.key = d.key LEFT JOIN qn ON qn.i = dv.i GROUP BY d.key ORDER BY 2 DESC, 1 LIMIT 10""",
     "stratified_split": f"WITH {LABELED} SELECT key AS recipe_id, label, split FROM split",
@@ -199,10 +213,10 @@ SQL: dict[str, str] = {
       s AS (SELECT vec_id, max(CASE WHEN label = other THEN CASE WHEN n > 1 THEN t / (n - 1) ELSE -1 END END) AS a, min(CASE WHEN label <> other THEN t / n END) AS b FROM d GROUP BY vec_id)
       SELECT vec_id, round(CASE WHEN a < 0 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 5) AS silhouette FROM s""",
     "lloyd_step": f"""WITH {POINTS}, d AS (SELECT p.vec_id, c.label, sum((p.v - c.c) ** 2) AS d FROM pt p JOIN ctr c USING (i) GROUP BY ALL), a AS (SELECT vec_id, arg_min(label, (d, label)) AS label FROM d GROUP BY vec_id)
-      SELECT a.label, count(DISTINCT a.vec_id) AS size, round(avg(p.v), 6) AS c0 FROM a JOIN pt p ON p.vec_id = a.vec_id AND p.i = 0 GROUP BY a.label""",
+      SELECT a.label, count(*) AS size, p.i::INT AS i, round(avg(p.v), 6) + 0.0::DOUBLE AS c FROM a JOIN pt p ON p.vec_id = a.vec_id GROUP BY a.label, p.i""",
     "vector_means": f"WITH {POINTS} SELECT p.vec_id, p.label, round(sum((p.v - c.c) ** 2), 6) AS distance2 FROM pt p JOIN ctr c ON c.label = p.label AND c.i = p.i GROUP BY ALL",
     "url_canonical": f"WITH c AS (SELECT {CANON.replace('u,', 'recipe_url,')} AS url FROM category_listings) SELECT url, count(*) AS listings, nullif(regexp_extract(url, '/receita/(\\d+)(?:[-/.?]|$)', 1), '') AS recipe_id FROM c GROUP BY url",
-    "category_urls": rf"SELECT run_id, coalesce(nullif(regexp_extract({SLUG}, '^(\d+)', 1), ''), nullif({SLUG}, '')) AS category_id, CASE WHEN regexp_replace({SLUG}, '^\d+-?', '') <> '' THEN {TITLED} ELSE 'Categoria' END AS name, regexp_extract(category_url, '^([^?#]*)', 1) || '?page=2' AS page_2 FROM scrape_runs",
+    "category_urls": rf"SELECT run_id, coalesce(nullif(regexp_extract({SLUG}, '^(\d+)', 1), ''), nullif({SLUG}, '')) AS category_id, CASE WHEN regexp_replace({SLUG}, '^\d+-?', '') <> '' THEN {TITLED} ELSE 'Categoria' END AS name, regexp_extract(category_url, '^([^?#]*)', 1) || '?' || array_to_string(list_append(list_filter(string_split(regexp_extract(category_url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^page(=|$)')), 'page=2'), '&') AS page_2 FROM scrape_runs",
     "parse_minutes": r"""WITH p AS (SELECT site_recipe_id AS recipe_id, nullif(regexp_extract(lower(prep_time_raw), '([0-9]+)\s*h', 1), '')::INT AS h, nullif(regexp_extract(lower(prep_time_raw), '([0-9]+)\s*(?:min|m)\b', 1), '')::INT AS m FROM recipes)
       SELECT recipe_id, CASE WHEN h IS NOT NULL OR m IS NOT NULL THEN coalesce(h, 0) * 60 + coalesce(m, 0) END AS minutes FROM p""",
     "parse_numbers": rf"""WITH p AS (SELECT site_recipe_id AS recipe_id, prep_time_raw AS x, lower(regexp_replace(prep_time_raw, '{SPACE}', '', 'g')) AS t FROM recipes)
@@ -210,7 +224,10 @@ SQL: dict[str, str] = {
       CASE WHEN t LIKE '%k' THEN floor(try_cast(replace(t[:-2], ',', '.') AS DOUBLE) * 1000)::BIGINT WHEN t LIKE '%m' THEN floor(try_cast(replace(t[:-2], ',', '.') AS DOUBLE) * 1000000)::BIGINT ELSE try_cast(nullif(regexp_replace(t, '[^0-9]', '', 'g'), '') AS BIGINT) END AS number FROM p""",
     "labels_normalized": f"SELECT {DIFF} AS difficulty, {COST} AS cost_label, count(*) AS recipes FROM recipes GROUP BY ALL",
     "changed_cells": f"""SELECT count(*) FILTER (WHERE title IS DISTINCT FROM {clean('title')}) AS title, count(*) FILTER (WHERE prep_time_raw IS DISTINCT FROM nullif({clean('prep_time_raw')}, '')) AS prep_time_raw,
-      count(*) FILTER (WHERE difficulty IS DISTINCT FROM {DIFF}) AS difficulty, count(*) FILTER (WHERE cost_label IS DISTINCT FROM {COST}) AS cost_label, count(*) FILTER (WHERE url IS DISTINCT FROM {CANON.replace('u,', 'url,')}) AS url FROM recipes""",
+      count(*) FILTER (WHERE difficulty IS DISTINCT FROM {DIFF}) AS difficulty, count(*) FILTER (WHERE cost_label IS DISTINCT FROM {COST}) AS cost_label, count(*) FILTER (WHERE url IS DISTINCT FROM {CANON.replace('u,', 'url,')}) AS url,
+      count(*) FILTER (WHERE description IS DISTINCT FROM nullif({clean('description')}, '')) AS description, count(*) FILTER (WHERE origin_category IS DISTINCT FROM nullif({clean('origin_category')}, '')) AS origin_category,
+      (SELECT count(*) FROM ingredients WHERE raw_text IS DISTINCT FROM nullif({clean('raw_text')}, '')) AS ingredients, (SELECT count(*) FROM preparation_steps WHERE raw_text IS DISTINCT FROM nullif({clean('raw_text')}, '')) AS preparation_steps,
+      (SELECT count(*) FROM categories WHERE name IS DISTINCT FROM nullif({clean('name')}, '')) AS categories, (SELECT count(*) FROM category_listings WHERE listed_title IS DISTINCT FROM nullif({clean('listed_title')}, '')) AS category_listings FROM recipes""",
     "display_cells": r"SELECT site_recipe_id AS recipe_id, coalesce(regexp_replace(printf('%.4f', rating_value), '\.?0+$', ''), '—') AS rating, coalesce(nullif(cost_label, ''), '—') AS cost FROM recipes",
     "search_filter": f"SELECT site_recipe_id AS recipe_id, title, rating_value FROM recipes WHERE {' AND '.join(f'contains({nocase(chr(115) + chr(101) + chr(97) + chr(114) + chr(99) + chr(104) + chr(95) + chr(116) + chr(101) + chr(120) + chr(116))}, {_text(t)})' for t in ('bolo', 'chocolate', 'bol'))} AND prep_time_minutes <= 120 AND rating_value >= 3.0",
     "search_label": f"SELECT site_recipe_id AS recipe_id FROM recipes WHERE {nocase('trim(difficulty)')} = 'facil' AND {nocase('trim(cost_label)')} = 'custo alto'",
@@ -218,7 +235,10 @@ SQL: dict[str, str] = {
     "facet_values": f"""WITH {LISTED} SELECT DISTINCT 'difficulty' AS facet, trim(difficulty) AS value, trim(difficulty) AS label FROM recipes WHERE trim(difficulty) <> ''
       UNION ALL SELECT DISTINCT 'cost_label', trim(cost_label), trim(cost_label) FROM recipes WHERE trim(cost_label) <> '' UNION ALL SELECT 'category', site_category_id, name FROM categories WHERE trim(name) <> '' AND site_category_id IN (SELECT category_id FROM hit)""",
     "best_rated_page": f"SELECT site_recipe_id AS recipe_id, rating_value, ratings_count FROM recipes ORDER BY {ORDER} LIMIT 20 OFFSET 40",
-    "notebook_filter": "SELECT site_recipe_id AS recipe_id, title FROM recipes WHERE lower(title) LIKE '%banana%' AND difficulty = 'Fácil'",
+    "notebook_filter": "SELECT site_recipe_id AS recipe_id, title FROM recipes WHERE lower(title) LIKE '%bolo%' AND difficulty = 'Fácil'",
+    "first_recipe": f"""WITH r AS (SELECT * FROM recipes ORDER BY {nocase('title')}, site_recipe_id LIMIT 1), o AS (SELECT DISTINCT {clean('origin_category')} AS n FROM r WHERE trim(origin_category) <> '')
+      SELECT site_recipe_id AS recipe_id, title, coalesce((SELECT string_agg(raw_text, '|' ORDER BY line_position, raw_text) FROM (SELECT DISTINCT line_position, raw_text FROM ingredients JOIN r ON recipe_id = site_recipe_id)), '') AS ingredients,
+      coalesce((SELECT string_agg(raw_text, '|' ORDER BY line_position, raw_text) FROM (SELECT DISTINCT line_position, raw_text FROM preparation_steps JOIN r ON recipe_id = site_recipe_id)), '') AS steps FROM r""",
     "recipe_details": """WITH i AS (SELECT recipe_id, count(*) AS n, string_agg(raw_text, '|' ORDER BY line_position, raw_text) AS t FROM (SELECT DISTINCT recipe_id, line_position, raw_text FROM ingredients) GROUP BY recipe_id),
       s AS (SELECT recipe_id, string_agg(raw_text, '|' ORDER BY line_position, raw_text) AS t FROM (SELECT DISTINCT recipe_id, line_position, raw_text FROM preparation_steps) GROUP BY recipe_id)
       SELECT site_recipe_id AS recipe_id, coalesce(i.n, 0)::INT AS n_ingredients, coalesce(i.t, '') AS ingredients, coalesce(s.t, '') AS steps FROM recipes r LEFT JOIN i ON i.recipe_id = r.site_recipe_id LEFT JOIN s ON s.recipe_id = r.site_recipe_id""",
@@ -226,7 +246,8 @@ SQL: dict[str, str] = {
     "category_distribution": f"SELECT {label('origin_category')} AS label, count(*) AS count FROM recipes GROUP BY 1",
     "title_collisions": f"SELECT {nocase('title')} AS title, count(*) AS count FROM recipes GROUP BY 1 HAVING count(*) > 1",
     "coverage_summary": """SELECT 'recipes' AS metric, count(*) AS value FROM recipes UNION ALL SELECT 'with_cost', count(*) FROM recipes WHERE trim(cost_label) <> '' UNION ALL SELECT 'with_origin', count(*) FROM recipes WHERE trim(origin_category) <> ''
-      UNION ALL SELECT 'marked_duplicates', count(duplicate_of_recipe_id) FROM recipes UNION ALL SELECT 'difficulty_labels', count(DISTINCT difficulty) FROM recipes UNION ALL SELECT 'ingredients', count(*) FROM ingredients
+      UNION ALL SELECT 'marked_duplicates', count(*) FROM recipes WHERE trim(duplicate_of_recipe_id) <> \'\' UNION ALL SELECT 'with_time', count(prep_time_minutes) FROM recipes UNION ALL SELECT 'with_rating', count(rating_value) FROM recipes
+      UNION ALL SELECT 'with_ingredients', count(DISTINCT recipe_id) FROM ingredients JOIN recipes ON recipe_id = site_recipe_id UNION ALL SELECT 'with_steps', count(DISTINCT recipe_id) FROM preparation_steps JOIN recipes ON recipe_id = site_recipe_id UNION ALL SELECT 'difficulty_labels', count(DISTINCT difficulty) FROM recipes UNION ALL SELECT 'ingredients', count(*) FROM ingredients
       UNION ALL SELECT 'preparation_steps', count(*) FROM preparation_steps UNION ALL SELECT 'categories', count(*) FROM categories UNION ALL SELECT 'category_listings', count(*) FROM category_listings""",
     "latest_run": "WITH d AS (SELECT DISTINCT recipe_id, vec FROM document_embeddings WHERE vec IS NOT NULL AND run_id = (SELECT max(run_id) FROM document_embeddings)) SELECT recipe_id, round(sqrt(list_sum(list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM d",
     "run_counters": "SELECT r.run_id, r.status, r.listing_count, count(DISTINCT l.id) AS listings, count(DISTINCT l.recipe_id) AS listed_recipes FROM scrape_runs r LEFT JOIN category_listings l USING (run_id) GROUP BY ALL",
