@@ -13,53 +13,56 @@ from pyspark.sql import functions as F
 
 from larder.session import Scratch
 
-#: Rows of queries compared at once with a block of all rows.
-QUERY_BLOCK = 1024
+#: Queries and rows of a block pair that one task compares.
+BLOCK = 4096
+#: Largest number of centres that is sent to the tasks; more are an error.
+MAX_CENTRES = 10_000
+
+
+def _grid(left: DataFrame, right: DataFrame, rows: int, columns: int) -> DataFrame:
+    """``left`` (id, vec, …) and ``right`` in the cells ``cell`` of a grid of blocks: every left block meets every right block once; ``side`` tells them apart."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    a = left.withColumn("_i", block(rows)).withColumn("_j", every(columns)).withColumn("side", F.lit(0))
+    b = right.withColumn("_j", block(columns)).withColumn("_i", every(rows)).withColumn("side", F.lit(1))
+    return a.unionByName(b).withColumn("cell", F.col("_i") * F.lit(columns) + F.col("_j")).drop("_i", "_j")
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
 def dense_neighbours(vectors: DataFrame, queries: DataFrame, limit: int = 5, id: str = "id", vec: str = "vec") -> DataFrame:
-    """``(query, neighbour, cosine, rank)``: the exact nearest rows of a stated query set, against all rows, in blocks.
+    """``(query, neighbour, cosine, rank)``: the exact nearest rows of a query set (or of all rows), against all rows, in blocks.
 
-    Query vectors are gathered into blocks of ``QUERY_BLOCK``; a block and a batch of rows meet in one
-    matrix product, which passes on its ``limit`` best a query. So what is shuffled is queries times
-    tasks, not queries times rows.
+    Blocks of queries and of rows form a grid; a cell is one task with a matrix product, which passes on
+    its ``limit`` best a query. Nothing is gathered on the driver. Ties go to the smaller id; null
+    vectors take no part.
     """
-    blocks = queries.select(F.col(id).alias("q"), F.col(vec).alias("v")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, math.ceil(queries.count() / QUERY_BLOCK)))))
-    gathered = blocks.groupBy("b").agg(F.collect_list("q").alias("qs"), F.collect_list("v").alias("vs"))
-    many = [(r["b"], r["qs"], r["vs"]) for r in gathered.toLocalIterator()]
-    spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[id]
-    parts = []
-    for _, qs, vs in many:
-        q = np.array(vs, dtype=np.float64)
-        norm = np.sqrt((q * q).sum(1, keepdims=True))
-        shared = spark.sparkContext.broadcast((np.array(qs, dtype=object), q / np.where(norm > 0, norm, 1)))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, unit = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch[id].to_numpy()
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in batch[vec]])
-                n = np.sqrt((x * x).sum(1, keepdims=True))
-                s = np.round(unit @ (x / np.where(n > 0, n, 1)).T, 6)
-                s[names[:, None] == ids[None, :]] = -np.inf
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty(len(ids), dtype=np.int64)
-                rank[order] = np.arange(len(ids))
-                out = []
-                for i in range(len(names)):
-                    top = np.lexsort((rank, -s[i]))[:limit]
-                    out += [(names[i], ids[j], s[i, j]) for j in top if s[i, j] > -np.inf]
-                yield pd.DataFrame(out, columns=["query", "neighbour", "cosine"])
-
-        parts.append(vectors.select(id, vec).mapInPandas(best, f"query {kind}, neighbour {kind}, cosine double"))
-    if not parts:
-        return vectors.select(F.col(id).alias("query"), F.col(id).alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
-    near = parts[0]
-    for p in parts[1:]:
-        near = near.unionByName(p)
+    q, r = (df.select(F.col(id).alias("id"), F.col(vec).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL") for df in (queries, vectors))
+    cells = _grid(q, r, max(1, math.ceil(q.count() / BLOCK)), max(1, math.ceil(r.count() / BLOCK)))
+
+    def best(table: pd.DataFrame) -> pd.DataFrame:
+        a, b = table[table.side == 0], table[table.side == 1].sort_values("id", kind="stable")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": [], "neighbour": [], "cosine": []})
+        x, y = _matrix(a.vec), _matrix(b.vec)
+        x, y = (m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) > 0, n, 1) for m in (x, y))
+        names, others = a.id.to_numpy(), b.id.to_numpy()
+        out = []
+        for lo in range(0, len(x), 512):
+            s = np.round(x[lo : lo + 512] @ y.T, 6)
+            s[names[lo : lo + 512, None] == others[None, :]] = -np.inf
+            k = min(limit, s.shape[1])
+            i, j = np.nonzero((s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]) & (s > -np.inf))
+            order = np.lexsort((j, -s[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({"query": names[lo + i[top]], "neighbour": others[j[top]], "cosine": s[i[top], j[top]]}))
+        return pd.concat(out)
+
+    near = cells.groupBy("cell").applyInPandas(best, f"query {kind}, neighbour {kind}, cosine double")
     order = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -86,7 +89,9 @@ def assign(points: DataFrame, centres: list[tuple[int, list[float]]], vec: str =
 
 def lloyd_step(points: DataFrame, centres: DataFrame, dimension: int) -> DataFrame:
     """``(label, size, centre)`` after one round of assignment to ``centres`` (label, centre) and averaging."""
-    known = [(r["label"], r["centre"]) for r in centres.select("label", "centre").limit(10_000).collect()]
+    known = [(r["label"], r["centre"]) for r in centres.select("label", "centre").limit(MAX_CENTRES + 1).collect()]
+    if len(known) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
     return _centres(assign(points.select("id", "vec"), sorted(known)), "label", dimension)
 
 
@@ -153,24 +158,21 @@ def silhouette(points: DataFrame, labels: int | None = None, id: str = "id", vec
     if sizes.count() < 2:
         return pts.select("id", F.lit(0.0).alias("silhouette"))
     blocks = max(1, math.ceil(n / 2000))
-    placed = pts.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumn("h", every).select("id", "vec", "label", F.concat_ws("-", "g", "h").alias("pair"), F.lit(0).alias("side"))
-    right = placed.withColumnRenamed("g", "h").withColumn("g", every).select("id", "vec", "label", F.concat_ws("-", "g", "h").alias("pair"), F.lit(1).alias("side"))
+    cells = _grid(pts, pts, blocks, blocks)
     kind, lkind = dict(pts.dtypes)["id"], dict(pts.dtypes)["label"]
 
     def sums(table: pd.DataFrame) -> pd.DataFrame:
         a, b = table[table.side == 0], table[table.side == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "total": []})
-        x, y = (np.stack([np.asarray(v, dtype=np.float64) for v in t.vec]) for t in (a, b))
+        x, y = _matrix(a.vec), _matrix(b.vec)
         d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
         d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None]] = 0
         names = np.unique(b.label.to_numpy())
         per = np.stack([d[:, b.label.to_numpy() == m].sum(1) for m in names], axis=1)
         return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), len(names)), "other": np.tile(names, len(a)), "total": per.ravel()})
 
-    totals = left.unionByName(right).groupBy("pair").applyInPandas(sums, f"id {kind}, other {lkind}, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
+    totals = cells.groupBy("cell").applyInPandas(sums, f"id {kind}, other {lkind}, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
     joined = totals.join(sizes.select(F.col("label").alias("other"), "size"), "other").join(pts.select("id", "label"), "id")
     own = F.max(F.when(F.col("other") == F.col("label"), F.when(F.col("size") > 1, F.col("total") / (F.col("size") - 1)).otherwise(F.lit(-1.0))))
     near = F.min(F.when(F.col("other") != F.col("label"), F.col("total") / F.col("size")))
@@ -178,15 +180,55 @@ def silhouette(points: DataFrame, labels: int | None = None, id: str = "id", vec
     return per.select("id", F.when(F.col("a") < 0, 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
+def simplified_silhouette(points: DataFrame, dimension: int, id: str = "id", vec: str = "vec", label: str = "label") -> DataFrame:
+    """``(id, silhouette)`` from the distances to the clusters' means instead of to all members: one pass.
+
+    Singletons 0, fewer than two groups 0.
+    """
+    centres = _centres(points, label, dimension, vec).limit(MAX_CENTRES + 1).collect()
+    if len(centres) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
+    if len(centres) < 2:
+        return points.select(F.col(id).alias("id"), F.lit(0.0).alias("silhouette"))
+    names = {r[label]: i for i, r in enumerate(centres)}
+    fixed, sizes = np.array([r["centre"] for r in centres]), np.array([r["size"] for r in centres])
+
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vectors, labels in parts:
+            x, own = _matrix(vectors), np.array([names[l] for l in labels])
+            d = np.sqrt(np.stack([((x - c) ** 2).sum(1) for c in fixed], axis=1))
+            a = d[np.arange(len(x)), own]
+            d[np.arange(len(x)), own] = np.inf
+            b = d.min(1)
+            most = np.maximum(a, b)
+            yield pd.Series(np.where((sizes[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0))
+
+    return points.select(F.col(id).alias("id"), F.pandas_udf(score, "double")(vec, label).alias("silhouette"))
+
+
+#: Points up to which the silhouette over all pairs chooses the number of clusters; beyond, the linear one does.
+EXACT_SILHOUETTE = 20_000
+
+
+def mean_silhouette(points: DataFrame, labels: DataFrame, dimension: int, n: int) -> float:
+    labeled = points.join(labels, "id")
+    each = silhouette(labeled) if n <= EXACT_SILHOUETTE else simplified_silhouette(labeled, dimension)
+    return each.agg(F.avg("silhouette")).first()[0]
+
+
 def select_cluster_count(points: DataFrame, dimension: int, *, most: int = 8, restarts: int = 4, rounds: int = 50, seed: int = 42) -> tuple[int, DataFrame, float]:
-    """The k of 2..``most`` with the greatest mean silhouette (ties: the smaller), its labels and score."""
+    """The k of 2..``most`` with the greatest mean silhouette (ties: the smaller), its labels and score.
+
+    The silhouette over all pairs is quadratic; collections beyond ``EXACT_SILHOUETTE`` points use the
+    simplified one, which is linear.
+    """
     n = points.count()
     if n <= 1:
         return n, points.select("id", F.lit(0).alias("label")), 0.0
     best = None
     for k in range(2, max(2, min(most, n - 1)) + 1):
         labels, _ = kmeans(points, k, dimension, restarts=restarts, rounds=rounds, seed=seed + 100 * k)
-        score = silhouette(points.join(labels, "id")).agg(F.avg("silhouette")).first()[0]
+        score = mean_silhouette(points, labels, dimension, n)
         if best is None or score > best[2] + 1e-12:
             best = (k, labels, score)
     return best

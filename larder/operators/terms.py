@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.session import Scratch
+
+#: Documents of a block of a term's list in the inverted index.
+LIST = 10_000
+
 
 def frequencies(docs: DataFrame, key: str = "key", tokens: str = "tokens") -> DataFrame:
     """``(key, term, tf)``, combined before the shuffle."""
@@ -49,12 +54,15 @@ def sparse_neighbours(unit: DataFrame, queries: DataFrame, keys: DataFrame, limi
     """``(query, neighbour, cosine, rank)``: the exact most similar documents of the queries, zero similarities included.
 
     ``unit`` has normalised weights, ``queries`` and ``keys`` the column ``key``. The inverted index is an
-    equi-join on the term; documents that share no term fill up a query's list in order of their key,
+    equi-join on the term; a term's list of more than ``LIST`` documents is cut into blocks by their key, so
+    one in a third of all documents is many small joins. Documents that share no term fill up a query's list in order of their key,
     from the smallest ``limit`` + (number of its sharing documents) keys, without a cross join.
     """
-    left = unit.join(queries.select("key"), "key", "left_semi").select(F.col("key").alias("query"), "term", F.col("w").alias("a"))
-    right = unit.select(F.col("key").alias("neighbour"), "term", F.col("w").alias("b"))
-    dots = left.join(right, "term").where("query <> neighbour").groupBy("query", "neighbour").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("cosine"))
+    lists = unit.groupBy("term").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
+    cut = Scratch(unit.sparkSession).save(unit.where("w <> 0").join(lists, "term"))
+    left = cut.join(queries.select("key"), "key", "left_semi").select(F.col("key").alias("query"), "term", F.col("w").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = cut.select(F.col("key").alias("neighbour"), "term", F.col("w").alias("b"), F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int").alias("block"))
+    dots = left.join(right, ["term", "block"]).where("query <> neighbour").groupBy("query", "neighbour").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("cosine"))
     # Zero similarities: the first `limit` keys plus the query itself always suffice where fewer share a term.
     firsts = keys.select(F.col("key").alias("neighbour")).orderBy("neighbour").limit(10 * limit + 1)
     pad = queries.select(F.col("key").alias("query")).crossJoin(F.broadcast(firsts)).where("query <> neighbour")  # 10 * limit + 1 rows

@@ -85,3 +85,47 @@ def test_duplicates_and_newest(spark):
     assert {tuple(r) for r in corpus.exact_duplicates(df, "id", "key").collect()} == {("10", "9", 1.0), ("x", "9", 1.0)}
     rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, None)], "k string, t int, v string")
     assert {(r.k, r.v) for r in corpus.newest(rows, ["k"], [F.col("t")]).collect()} == {("a", "new"), ("b", None)}
+
+
+def test_dense_neighbours_of_all_rows_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.RandomState(1)
+    x = np.round(rng.normal(size=(120, 4)), 1)
+    x[50:60] = x[0]  # ties
+    x[70] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 4), (900, None)], "id long, vec array<double>")
+    unit = x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1)
+    s = np.round(unit @ unit.T, 6)
+    want = {(i, int(j)) for i in range(120) for j in sorted((j for j in range(120) if j != i), key=lambda j: (-s[i, j], j))[:5]}
+    for block in (4096, 32):
+        monkeypatch.setattr(geometry, "BLOCK", block)
+        got = geometry.dense_neighbours(df, df, 5).collect()
+        assert {(r.query, r.neighbour) for r in got} == want and len(got) == len(want)
+    assert geometry.dense_neighbours(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_sparse_neighbours_with_a_hot_term(spark, monkeypatch):
+    from larder.operators import terms
+
+    docs = spark.createDataFrame([(f"{i:03d}", ["todo"] * 1 + [f"w{i % 7}", f"x{i % 11}"]) for i in range(60)] + [("999", [])], "key string, tokens array<string>").cache()
+    unit = terms.normalized(terms.weights(docs))
+    want = sorted(map(tuple, terms.sparse_neighbours(unit, docs, docs).collect()))
+    monkeypatch.setattr(terms, "LIST", 4)
+    assert sorted(map(tuple, terms.sparse_neighbours(unit, docs, docs).collect())) == want and len(want) == 61 * 5
+
+
+def test_simplified_silhouette(spark):
+    rows = [(f"{g}{i}", [1.0 if j == g else 0.01 * i for j in range(3)], g) for g in range(2) for i in range(3)] + [("x", [0.0, 0.0, 5.0], 7)]
+    got = {r.id: r.silhouette for r in geometry.simplified_silhouette(spark.createDataFrame(rows, "id string, vec array<double>, label int"), 3).collect()}
+    assert got["x"] == 0 and all(v > 0.9 for k, v in got.items() if k != "x")
+    one = spark.createDataFrame([("a", [1.0], 1)], "id string, vec array<double>, label int")
+    assert geometry.simplified_silhouette(one, 1).first().silhouette == 0
+
+
+def test_running_index(spark):
+    from larder.session import Scratch
+
+    df = spark.createDataFrame([(f"r{i % 17:02d}", i // 17) for i in range(200)], "recipe_id string, position int").repartition(5)
+    got = [(r.recipe_id, r.position, r.n) for r in corpus.running_index(df, ["recipe_id", "position"], "n", Scratch(spark)).collect()]
+    assert [x[2] for x in sorted(got)] == list(range(200))
