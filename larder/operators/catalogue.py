@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
+from larder.operators.corpus import newest
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,45 @@ def details(recipes: DataFrame, ingredients: DataFrame, steps: DataFrame, relate
     return out.withColumns({c: F.coalesce(c, empty) for c in ("ingredients", "preparation_steps", "related_categories") if c in out.columns})
 
 
+def first_recipe(recipes: DataFrame, ingredients: DataFrame, steps: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """The details of the first recipe by title (ASCII case ignored, then id); no recipes give no row."""
+    first = recipes.orderBy(T.ascii_nocase(F.col("title")), "site_recipe_id").limit(1)
+    return details(first, *[t.join(F.broadcast(first.select(F.col("site_recipe_id").alias("recipe_id"))), "recipe_id", "left_semi") for t in (ingredients, steps)], related)  # one row
+
+
+def named_relations(relations: DataFrame, categories: DataFrame) -> DataFrame:
+    """``(recipe_id, category_id, relation_type, name)``: relations with their categories' names, smallest first per id."""
+    names = categories.groupBy(F.col("site_category_id").alias("category_id")).agg(F.min("name").alias("name"))
+    return relations.join(names, "category_id").select("recipe_id", "category_id", "relation_type", "name")
+
+
+def save_recipes(store: dict[str, DataFrame], records: DataFrame) -> dict[str, DataFrame]:
+    """The tables ``recipes, ingredients, utensils, preparation_steps, recipe_categories, categories`` after an upsert of ``records``.
+
+    ``records`` are recipes as ``sources.html.recipes_of`` gives them with ``retrieved_at``. A recipe's latest
+    record counts; its cells replace the stored ones, null cells keeping what is stored, and its lines and
+    page relations replace those stored. An older record than the stored one changes nothing.
+    """
+    new = newest(records.withColumn("site_recipe_id", F.col("site_recipe_id")), ["site_recipe_id"], [F.col("retrieved_at")])
+    known = store["recipes"].select(F.col("site_recipe_id").alias("_id"), F.col("retrieved_at").alias("_at"))
+    new = new.join(known, F.col("site_recipe_id") == F.col("_id"), "left").where(F.col("_at").isNull() | (F.col("retrieved_at") >= F.col("_at"))).drop("_id", "_at")
+    ids = new.select(F.col("site_recipe_id").alias("recipe_id"))
+    r, n = store["recipes"].alias("r"), new.alias("n")
+    joined = r.join(n, F.col("r.site_recipe_id") == F.col("n.site_recipe_id"), "full")
+    cells = [F.coalesce(F.col(f"n.{c}"), F.col(f"r.{c}")).cast(t).alias(c) if c in new.columns else F.col(f"r.{c}") for c, t in store["recipes"].dtypes]
+    out = {"recipes": joined.select(*cells)}
+    for name, text in (("ingredients", "raw_text"), ("utensils", "name"), ("preparation_steps", "raw_text")):
+        lines = new.select(F.col("site_recipe_id").alias("recipe_id"), F.posexplode(name).alias("_p", text)).select("recipe_id", (F.col("_p") + 1).alias("line_position"), text)
+        out[name] = store[name].join(ids, "recipe_id", "left_anti").unionByName(lines, allowMissingColumns=True)
+    flat = new.select(F.col("site_recipe_id").alias("recipe_id"), F.explode("related_categories").alias("c"))
+    shown = flat.select("recipe_id", F.col("c.site_category_id").alias("category_id"), F.lit("related").alias("relation_type")).distinct()
+    kept = store["recipe_categories"].join(ids.withColumn("relation_type", F.lit("related")), ["recipe_id", "relation_type"], "left_anti")
+    out["recipe_categories"] = kept.unionByName(shown)
+    added = flat.select("c.site_category_id", "c.name", "c.url").groupBy("site_category_id").agg(F.min("name").alias("name"), F.min("url").alias("url"))
+    out["categories"] = upsert_categories(store["categories"], added)
+    return out
+
+
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(T.label_or_default(F.col(column)).alias("label")).agg(F.count("*").alias("count"))
 

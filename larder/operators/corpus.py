@@ -13,15 +13,22 @@ def lines(rows: DataFrame, field: str) -> DataFrame:
     return rows.select("recipe_id", F.lit(field).alias("field_name"), F.col("line_position").alias("position"), "raw_text").where("raw_text IS NOT NULL AND recipe_id IS NOT NULL").distinct()
 
 
-def text_units(recipes: DataFrame, ingredients: DataFrame, steps: DataFrame) -> DataFrame:
-    """``(recipe_id, field_name, position, raw_text)``: title, description if there is one, ingredients, steps."""
+def text_units(recipes: DataFrame, ingredients: DataFrame, steps: DataFrame, utensils: DataFrame | None = None, related: DataFrame | None = None) -> DataFrame:
+    """``(recipe_id, field_name, position, raw_text)``: title, description if there is one, ingredients, steps, and utensils (name) and related categories (recipe_id, name) where given."""
     own = lambda c: recipes.select(F.col("site_recipe_id").alias("recipe_id"), F.lit(c).alias("field_name"), F.lit(0).alias("position"), F.col(c).alias("raw_text"))
-    return (
+    out = (
         own("title").where("raw_text IS NOT NULL")
         .unionByName(own("description").where("raw_text <> ''"))
         .unionByName(lines(ingredients, "ingredient"))
         .unionByName(lines(steps, "preparation_step"))
     )
+    if utensils is not None:
+        out = out.unionByName(lines(utensils.withColumnRenamed("name", "raw_text"), "utensil"))
+    if related is not None:
+        # Numbered by name within a recipe, which has a few categories.
+        names = numbered(related.where("recipe_id IS NOT NULL AND name IS NOT NULL").select("recipe_id", "name").distinct(), "recipe_id", [T.ascii_nocase(F.col("name")), F.col("name")])
+        out = out.unionByName(names.select("recipe_id", F.lit("related_category").alias("field_name"), "position", F.col("name").alias("raw_text")))
+    return out
 
 
 def prepare(rows: DataFrame, text: str) -> DataFrame:
@@ -116,3 +123,16 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def numbered(rows: DataFrame, parent: str, order: list[Column]) -> DataFrame:
     """``rows`` with the 1-based ``position`` within each parent."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+
+
+def running_index(rows: DataFrame, order: list[str], name: str, scratch) -> DataFrame:
+    """``rows`` with a running number from 0 in ``order`` over all rows.
+
+    Rows are range-partitioned and sorted, counted by partition, and numbered from the counts before
+    theirs: no window over everything. The order is written first, so counts and numbers agree.
+    """
+    parts = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id() % F.lit(1 << 33)}))
+    counts = parts.groupBy("_p").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_o"))
+    return parts.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_m")).drop("_p", "_m", "_o")

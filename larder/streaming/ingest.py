@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larder.functions.text import canonical_url
 from larder.operators.corpus import newest
 from larder.sources import html
 
@@ -16,9 +17,9 @@ def page_stream(spark: SparkSession, folder: str, per_trigger: int = 100) -> Dat
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """Recipe records of a batch of pages, the latest page of each URL."""
-    last = newest(pages.select("url", "html", "retrieved_at"), ["url"], [F.col("retrieved_at")])
-    return html.recipes_of(last)
+    """Recipe records of a batch of pages with ``retrieved_at``, the latest page of each canonical URL."""
+    last = newest(pages.select(canonical_url(F.col("url")).alias("url"), "html", "retrieved_at"), ["url"], [F.col("retrieved_at")])
+    return html.recipes_of(last).join(last.select("url", "retrieved_at"), "url")
 
 
 def ingest(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -31,6 +32,6 @@ def ingest(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The record of the highest run of each recipe."""
+    """The most recently retrieved record of each recipe, whatever batch it came in (ties: the later batch)."""
     rows = spark.read.parquet(target)
-    return newest(rows, ["site_recipe_id"], [F.col("run_id")])
+    return newest(rows, ["site_recipe_id"], [F.col("retrieved_at"), F.col("run_id")])

@@ -99,3 +99,42 @@ def test_stream_ingest(spark, tmp_path):
     assert [r.title for r in ingest.latest(spark, str(tmp_path / "out")).collect()] == ["Bolo caseiro"]
     ev = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 2.0D AS value")
     assert windows.hourly(ev).first().events == 1
+
+
+def test_latest_page_wins_whatever_batch_it_comes_in(spark, tmp_path):
+    import json
+
+    from larder.streaming import ingest
+
+    def page(title):
+        return f"<html><head><script type='application/ld+json'>{json.dumps({'@type': 'Recipe', 'name': title})}</script></head><body></body></html>"
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    target, state = str(tmp_path / "out"), str(tmp_path / "state")
+    batches = [[("https://a.test/receita/7-bolo.html?x=1", "novo", "2025-03-01T00:00:00"), ("https://A.test/receita/7-bolo.html", "meio", "2025-02-01T00:00:00")], [("https://a.test/receita/7-bolo.html", "atrasado", "2025-01-01T00:00:00")]]
+    for i, rows in enumerate(batches):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps({"url": u, "html": page(t), "retrieved_at": at}) for u, t, at in rows))
+        ingest.ingest(ingest.page_stream(spark, str(folder)), target, state).awaitTermination()
+    assert [(r.site_recipe_id, r.title) for r in ingest.latest(spark, target).collect()] == [("7", "novo")]
+
+
+def test_fixture_pages(spark, tmp_path):
+    from larder import pipelines
+
+    (tmp_path / "c.html").write_text("<h2>Receitas recomendadas</h2><section><h2>Receitas recomendadas</h2><a href='/receita/7-bolo.html'>Bolo</a></section>")
+    (tmp_path / "r.html").write_text("<h1>Bolo</h1><p>Fácil</p>")
+    got = pipelines.fixture(spark, str(tmp_path / "out"), 3, (str(tmp_path / "c.html"), "https://a.test/categorias/12-doces"), (str(tmp_path / "r.html"), "https://a.test/receita/7-bolo.html"))
+    assert got["recipe_count"] == 1 and got["listing_count"] == 1 and got["status"] == "partial" and got["error_count"] > 0
+    run = spark.read.parquet(str(tmp_path / "out" / "scrape_runs")).first()
+    assert run.run_id == 3 and run.finished_at is not None and run.listing_count == 1
+    assert spark.read.parquet(str(tmp_path / "out" / "fixture_recipes")).first().origin_category == "Doces"
+
+
+def test_page_urls_keep_other_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from larder.functions import text as T
+
+    df = spark.createDataFrame([("https://a.test/c?q=1&page=9#x",), ("https://a.test/c",)], "u string")
+    assert [r[0] for r in df.select(T.page_url(F.col("u"), F.lit(3))).collect()] == ["https://a.test/c?q=1&page=3", "https://a.test/c?page=3"]
