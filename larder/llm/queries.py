@@ -58,7 +58,8 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     scratch = Scratch(spark)
     sets = scratch.save(near_duplicates.word_sets(recipe_texts(spark, root, "title"), "recipe_id", "text", 12))
     reps, members = near_duplicates.classes(sets)
-    pairs = near_duplicates.similar_pairs(reps, Fraction(4, 5))
+    members = scratch.save(members)
+    pairs = scratch.save(near_duplicates.similar_pairs(reps, Fraction(4, 5)))
     return near_duplicates.expand_pairs(pairs, members).select(F.col("a").alias("recipe_id_a"), F.col("b").alias("recipe_id_b"))
 
 

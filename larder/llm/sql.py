@@ -60,4 +60,16 @@ SQL: dict[str, str] = {
       p AS (SELECT a.r AS a, b.r AS b, count(*) AS x, any_value(a.n) AS na, any_value(b.n) AS nb FROM k a JOIN k b ON a.w = b.w AND a.r < b.r GROUP BY ALL) SELECT a AS recipe_id_a, b AS recipe_id_b FROM p WHERE 5 * x >= 4 * (na + nb - x)""",
     "p6_found": f"""WITH {_texts('search_text')}, tf AS (SELECT r, w, count(*) AS tf FROM flat WHERE length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w HAVING count(*) >= 2),
       sc AS (SELECT r, w, round(tf * ln((SELECT count(*) FROM recipes) * 1.0::DOUBLE / df), 9) AS s FROM tf JOIN df USING (w)) SELECT r AS recipe_id, w AS term FROM sc QUALIFY row_number() OVER (PARTITION BY r ORDER BY s DESC, w) <= 3""",
+    "p3_records": f"""WITH RECURSIVE {_GROUPS}, m AS (SELECT r.*, g, {_INSTANT} AS at_us FROM recipes r JOIN grp ON grp.r = r.site_recipe_id), picks AS ({_PICKS}),
+      v AS (SELECT p.g, p.f, r.* FROM picks p JOIN recipes r ON r.site_recipe_id = p.s)
+      SELECT k.g AS group_recipe_id, {', '.join(f"any_value(v.{c}) FILTER (WHERE v.f = '{c}') AS {c}" for c in ('rating_value', 'description', 'prep_time_raw', 'difficulty', 'cost_label', 'servings'))}
+      FROM (SELECT DISTINCT g FROM grp) k LEFT JOIN v ON v.g = k.g GROUP BY k.g""",
+    "p5_groups": f"""WITH RECURSIVE {_texts('title')}, s AS (SELECT DISTINCT r, w FROM flat), n AS (SELECT r, count(*) AS n FROM s GROUP BY r HAVING count(*) >= 12), k AS (SELECT s.r, w, n FROM s JOIN n USING (r)),
+      p AS (SELECT a.r AS a, b.r AS b, count(*) AS x, any_value(a.n) AS na, any_value(b.n) AS nb FROM k a JOIN k b ON a.w = b.w AND a.r <> b.r GROUP BY ALL), near AS (SELECT a, b, x = na AND x = nb AS same FROM p WHERE 5 * x >= 4 * (na + nb - x)),
+      reach(x, y) AS (SELECT a, b FROM near UNION SELECT r.x, e.b FROM reach r JOIN near e ON e.a = r.y), g AS (SELECT x AS r, min(y) AS y FROM reach GROUP BY x)
+      SELECT n.r AS recipe_id, least(n.r, coalesce(min(b) FILTER (WHERE same), n.r)) AS class_id, count(b) AS links, least(n.r, coalesce(any_value(g.y), n.r)) AS group_id FROM n LEFT JOIN near ON near.a = n.r LEFT JOIN g ON g.r = n.r GROUP BY n.r""",
+    "p6_terms": f"""WITH {_texts('search_text')}, tf AS (SELECT r, w, count(*) AS tf FROM flat WHERE length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM recipes), len AS (SELECT r, sum(tf)::DOUBLE AS dl FROM tf GROUP BY r),
+      mean AS (SELECT sum(dl) / any_value(n.n) AS avgdl FROM len, n), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w HAVING count(*) >= 2),
+      sc AS (SELECT r, w, tf, df, round(ln(1 + (n.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM tf JOIN df USING (w) JOIN len USING (r), n, mean)
+      SELECT r AS recipe_id, w AS term, rank::INT AS rank, tf, df, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, w) AS rank FROM sc) WHERE rank <= 3""",
 }
