@@ -1,5 +1,6 @@
 """Word lists and vocabularies. They decide results and are parameters wherever they are used."""
 
+# Words that carry no content; negations are not among them.
 STOPWORDS = tuple(
     """a ao aos aquela aquelas aquele aqueles aquilo as ate com como da das de dela delas dele deles depois do dos e ela
     elas ele eles em entre era eram essa essas esse esses esta estao estar estas estava estavam este estes eu foi foram

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,44 @@ from larder.functions import text as T
 from larder.functions.words import fold
 
 
-def verb_lemma(word: Column) -> Column:
-    return F.when(word.isin(*L.VERB_FORMS), F.element_at(T.literal_map(L.VERB_FORMS), word)).otherwise(T.lemma(word))
+def verb_lemma(word: str) -> str:
+    return L.VERB_FORMS.get(word) or T.lemma_word(word)
+
+
+#: Names of the relations.
+RELATIONS = ("root", "det", "case", "nsubj", "obj", "nmod")
+_DEPENDENCY = "array<struct<token_index: int, token: string, lemma: string, head_index: int, relation: string>>"
+
+
+def _parsed(words: pa.Array, verbs: frozenset[str], determiners: frozenset[str], prepositions: frozenset[str]) -> pa.Array:
+    """Dependencies of a column of token lists, on flat arrays: a word is looked up once a batch, roots and objects are minima by row."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    codes = words.flatten().dictionary_encode()
+    known, at = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+    lemmas = [verb_lemma(w) if w is not None else None for w in known]
+    verb, det, case = (np.array([x in group for x in items], dtype=bool) for items, group in ((lemmas, verbs), (known, determiners), (known, prepositions)))
+    starts = np.r_[0, np.cumsum(lengths)]
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(starts[-1]) - starts[row]
+    none = np.iinfo(np.int64).max
+
+    def first(chosen: np.ndarray) -> np.ndarray:
+        least = np.full(len(lengths), none)
+        np.minimum.at(least, row[chosen], place[chosen])
+        return least
+
+    verb, det, case = verb[at], det[at], case[at]
+    root = first(verb)
+    root = np.where(root == none, 0, root)[row]
+    small = det | case
+    obj = first((place > root) & ~small)[row]
+    is_root = place == root
+    kind = np.select([is_root, det, case, place < root, place == obj], [0, 1, 2, 3, 4], 5)
+    head = np.where(small, np.minimum(place + 1, lengths[row] - 1), root)
+    fields = [pa.array(place, pa.int32()), codes.dictionary.take(codes.indices), pa.array(lemmas, pa.string()).take(codes.indices), pa.array(head, pa.int32(), mask=is_root), pa.array(RELATIONS).take(pa.array(kind))]
+    items = pa.StructArray.from_arrays(fields, names=["token_index", "token", "lemma", "head_index", "relation"])
+    offsets = pa.array(starts, pa.int32(), mask=np.r_[words.is_null().to_numpy(zero_copy_only=False), False])
+    return pa.ListArray.from_arrays(offsets, items)
 
 
 def dependencies(rows: DataFrame, words: str, verbs: Sequence[str] = L.VERBS, determiners: Sequence[str] = L.DETERMINERS, prepositions: Sequence[str] = L.PREPOSITIONS) -> DataFrame:
@@ -23,23 +62,19 @@ def dependencies(rows: DataFrame, words: str, verbs: Sequence[str] = L.VERBS, de
 
     The root is the first token whose lemma is a verb, else the first token. Determiners and
     prepositions attach to the next token, tokens before the root are subjects, the first remaining
-    one after it the object, the others modifiers. Array functions only; lemmas, root and object are
-    columns of their own, so each is computed once a row.
+    one after it the object, the others modifiers. A null array gives null. Whole Arrow batches are
+    handled as flat arrays: nested array functions would be interpreted once a token.
     """
-    rest = [c for c in rows.columns if c not in ("d", "_t", "_r", "_o")]
-    small = (*determiners, *prepositions)
-    lemmas = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"), verb_lemma(w).alias("l")))
-    one = rows.select(*rest, lemmas.alias("_t"))
-    two = one.select(*rest, "_t", F.coalesce(F.get(F.filter("_t", lambda x: x["l"].isin(*verbs)), F.lit(0))["i"], F.lit(0)).alias("_r"))
-    three = two.select(*rest, "_t", "_r", F.get(F.filter("_t", lambda x: (x["i"] > F.col("_r")) & ~x["w"].isin(*small)), F.lit(0))["i"].alias("_o"))
+    rest = [c for c in rows.columns if c != "d"]
+    groups = frozenset(verbs), frozenset(determiners), frozenset(prepositions)
+    i = rest.index(words)
 
-    def node(x: Column) -> Column:
-        i, w, r = x["i"], x["w"], F.col("_r")
-        kind = F.when(i == r, "root").when(w.isin(*determiners), "det").when(w.isin(*prepositions), "case").when(i < r, "nsubj").when(i == F.col("_o"), "obj").otherwise("nmod")
-        head = F.when(i == r, F.lit(None)).when(w.isin(*small), F.least(i + 1, F.size("_t") - 1)).otherwise(r)
-        return F.struct(i.alias("token_index"), w.alias("token"), x["l"].alias("lemma"), head.cast("int").alias("head_index"), kind.alias("relation"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _parsed(batch.column(i), *groups)], names=[*rest, "d"])
 
-    return three.select(*rest, F.transform("_t", node).alias("d"))
+    own = rows.select(*rest)
+    return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in own.dtypes) + f", d {_DEPENDENCY}")
 
 
 def sentiment(words: Column, polarity: Mapping[str, float] = L.POLARITY, negations: Sequence[str] = L.NEGATIONS, intensifiers: Mapping[str, float] = L.INTENSIFIERS) -> Column:
@@ -79,10 +114,14 @@ def entity_texts(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?iU)" + L.ENTITY_PATTERNS[kind] if kind != "TEMPERATURE" else "(?U)" + L.ENTITY_PATTERNS[kind]), F.lit(0))
 
 
+# Words of an ingredient line that aren't part of its name.
+FUNCTION_WORDS = r"\b(?:de|da|do|a|gosto|picad[oa]s?|fatiad[oa]s?)\b"
+
+
 def ingredient_name(text: Column) -> Column:
     """An ingredient line without quantities, units and function words; the trimmed line if nothing remains."""
     rest = text
-    for pattern in (L.ENTITY_PATTERNS["QUANTITY"], L.ENTITY_PATTERNS["UNIT"], r"\b(?:de|da|do|a|gosto|picad[oa]s?|fatiad[oa]s?)\b"):
+    for pattern in (L.ENTITY_PATTERNS["QUANTITY"], L.ENTITY_PATTERNS["UNIT"], FUNCTION_WORDS):
         rest = F.regexp_replace(rest, "(?iU)" + pattern, " ")
     rest = F.regexp_replace(F.regexp_replace(rest, r"(?U)\s+", " "), r"^[ ,.\-]+|[ ,.\-]+$", "")
     return F.when(rest != "", rest).otherwise(F.trim(text))
@@ -90,7 +129,7 @@ def ingredient_name(text: Column) -> Column:
 
 STRUCTURED = {"ingredient": "INGREDIENT", "utensil": "UTENSIL", "related_category": "CATEGORY"}
 _PATTERNS = {k: re.compile(p, 0 if k == "TEMPERATURE" else re.I) for k, p in L.ENTITY_PATTERNS.items()}
-_NAME_CUT = re.compile(r"\b(?:de|da|do|a|gosto|picad[oa]s?|fatiad[oa]s?)\b", re.I)
+_NAME_CUT = re.compile(FUNCTION_WORDS, re.I)
 
 
 def find_entities(field: str, text: str) -> list[tuple[int, int, str, str, str, str, str]]:
