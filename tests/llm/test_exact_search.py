@@ -136,3 +136,46 @@ def test_graph_of_only_what_connects_has_the_same_clusters(spark):
         edges = [clusters.distances(clusters.neighbour_graph(df, 0.8, window=window, **how), 0.8) for how in ({}, {"k": 0, "cores": 0})]
         full, lean = ({(r.cluster, r.id) for r in clusters.flat(e).collect()} for e in edges)
         assert len(full ^ lean) <= (0 if window == 5000 else 0.02 * len(full)) and len(full) > 600
+
+
+def connected(edges: set, ids: list) -> set:
+    """The sets of at least two that ``edges`` connect."""
+    at = {x: i for i, x in enumerate(ids)}
+    label = clusters._roots(len(ids), np.array([at[a] for a, _ in edges]), np.array([at[b] for _, b in edges]))
+    groups = {}
+    for x, g in zip(ids, label.tolist()):
+        groups.setdefault(g, set()).add(x)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("space", ["dense", "sparse", "copies"])
+def test_links_connect_what_all_pairs_connect(spark, space):
+    """Windows on curves left pairs out, and with them members of clusters; themes, chains, stragglers, ids delivered twice."""
+    rng = np.random.RandomState(8)
+    limit = 0.6
+    if space == "sparse":
+        x = np.zeros((1800, 400))
+        for i in range(len(x)):
+            terms = rng.choice(400, 12, replace=False) if i >= 900 else (i % 30) * 13 + rng.choice(20, 12, replace=False) % 400
+            x[i, np.unique(terms % 400)] = 1
+            x[i] *= rng.uniform(0.2, 1, 400) * rng.choice([1, 1, 1, -1], 400)
+    else:
+        x = np.concatenate([np.repeat(rng.normal(size=(30, 24)), 20, axis=0) + 0.7 * rng.normal(size=(600, 24)), rng.normal(size=(1800, 24))])
+    if space == "copies":
+        x[rng.choice(len(x), 300, replace=False)] = x[0]
+        x *= rng.uniform(0.5, 4, (len(x), 1))
+    ids = [f"{i:05d}" for i in range(len(x))]
+    order = rng.permutation(len(x)).tolist() + [0, 7]
+    if space == "sparse":
+        df = spark.createDataFrame([(ids[i], np.flatnonzero(x[i]).tolist(), x[i][x[i] != 0].tolist()) for i in order], "id string, terms array<int>, weights array<double>")
+    else:
+        df = spark.createDataFrame([(ids[i], x[i].tolist()) for i in order], "id string, vec array<double>")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    s = np.round(unit @ unit.T, 9)
+    every = {(ids[a], ids[b]): s[a, b] for a, b in zip(*np.nonzero(np.triu(s >= limit, 1)))}
+    want = connected(every, ids)
+    got = {(r.a, r.b): r.similarity for r in nn.links(df, limit, window=40).collect()}
+    assert all(abs(got[p] - every[p]) < 2e-9 for p in got)
+    assert connected(got, ids) == want
+    before = {(r.a, r.b) for r in clusters.neighbour_graph(df, limit, k=0, cores=0, window=40).collect()}
+    assert connected(before, ids) != want
