@@ -115,6 +115,32 @@ def test_sparse_neighbours_with_a_hot_term(spark, monkeypatch):
     assert sorted(map(tuple, terms.sparse_neighbours(unit, docs, docs).collect())) == want and len(want) == 61 * 5
 
 
+def test_sparse_neighbours_make_no_row_a_pair(spark, monkeypatch):
+    """Common terms made nearly every pair of documents rows of a join; equal to brute force over many blocks, with copies and ties."""
+    import numpy as np
+
+    from larder.operators import terms
+
+    monkeypatch.setattr(terms, "LIST", 50)
+    monkeypatch.setattr(terms, "QUERIES", 30)
+    monkeypatch.setattr(terms, "CROWD", 3)
+    rng = np.random.RandomState(3)
+    x = np.where(rng.uniform(size=(400, 60)) < np.linspace(0.9, 0.01, 60), rng.uniform(0.1, 1, (400, 60)), 0)
+    x[100:140], x[390:] = x[100], 0
+    x = np.round(x, 3)
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    s = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(s, -1)
+    docs = spark.createDataFrame([(i,) for i in range(400)], "key long")
+    rows = spark.createDataFrame([(int(i), f"t{j}", float(unit[i, j])) for i, j in zip(*np.nonzero(unit))], "key long, term string, w double")
+    queries = docs.where("key % 3 = 0")
+    near = terms.sparse_neighbours(rows, queries, docs)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.query, r["rank"]): (r.neighbour, pytest.approx(r.cosine, abs=1e-6)) for r in near.collect()}
+    want = {(i, k + 1): (int(j), float(s[i, j])) for i in range(0, 400, 3) for k, j in enumerate(np.lexsort((np.arange(400), -s[i]))[:5])}
+    assert got == want
+
+
 def test_simplified_silhouette(spark):
     rows = [(f"{g}{i}", [1.0 if j == g else 0.01 * i for j in range(3)], g) for g in range(2) for i in range(3)] + [("x", [0.0, 0.0, 5.0], 7)]
     got = {r.id: r.silhouette for r in geometry.simplified_silhouette(spark.createDataFrame(rows, "id string, vec array<double>, label int"), 3).collect()}
