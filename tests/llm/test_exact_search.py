@@ -179,3 +179,30 @@ def test_links_connect_what_all_pairs_connect(spark, space):
     assert connected(got, ids) == want
     before = {(r.a, r.b) for r in clusters.neighbour_graph(df, limit, k=0, cores=0, window=40).collect()}
     assert connected(before, ids) != want
+
+
+def test_stragglers_meet_few_members_of_themes(monkeypatch):
+    """Stragglers and themes were compared with one another throughout, as cells of stragglers are wide; none is lost now."""
+    rng = np.random.RandomState(9)
+    themes = np.repeat(rng.normal(size=(5, 64)), 400, axis=0) + 0.3 * rng.normal(size=(2000, 64))
+    x = np.concatenate([themes, rng.normal(size=(1000, 64))])
+    x[2000:2300] = x[rng.choice(2000, 300)] + 0.4 * rng.normal(size=(300, 64))
+    ids = [f"{i:04d}" for i in range(len(x))]
+    table = nn.pa.table({"id": ids, "vec": x.tolist(), "key": np.zeros(len(x), dtype=np.int64)})
+    block = nn._blocked(table)
+    v, centres = nn.unpack(block), block.column("centre").to_pylist()
+    begin = np.array([i for i, c in enumerate(centres) if c is not None])
+    cells = begin, block.column("radius").to_numpy()[begin].astype(np.float32), np.array([centres[i] for i in begin], dtype=np.float32)
+    assert (cells[1] > nn.WIDE).any() and (cells[1] < nn.WIDE).any()
+    pairs, meet = [], nn._Nearest.meet
+
+    def counted(self, rows, other, y, cols, own):
+        pairs.append(len(rows) * len(cols))
+        meet(self, rows, other, y, cols, own)
+
+    monkeypatch.setattr(nn._Nearest, "meet", counted)
+    found = nn._Nearest(v, v.screen(), 0, 5, 0.85, 10)
+    nn._compare(found, v, v.screen(), np.r_[begin, len(x)], found.needs(cells[2], cells[1]), True, cells)
+    got = {(v.ids[r], found.ids[r, c], found.sims[r, c]) for r, c in zip(*np.nonzero(found.sims > -np.inf))}
+    alike(got, brute(ids, x, 5, 0.85))
+    assert sum(pairs) < 0.3 * len(x) ** 2
